@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, unused
 from .words import mix, words
 
 #: Words in an n-gram, the similarity from which documents are near duplicates, and coordinates of a signature.
@@ -418,25 +418,28 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     repeated = durable(sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"))
     plain = judged.where("NOT wins").select("doc_id").join(repeated, "doc_id", "left_anti")
 
+    key, sid = unused(docs, "__id"), unused(docs, "__sid")
+    number = F.col(f"`{id_col}`").cast("long")
+
     def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
-        ids = ids.select(F.col("doc_id").alias("__id")).distinct()
+        ids = ids.select(F.col("doc_id").alias(key)).distinct()
         small = ids.count() <= BROADCAST_IDS
-        return rows.join(F.broadcast(ids) if small else ids, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left_anti")
+        return rows.join(F.broadcast(ids) if small else ids, number == F.col(key), "left_anti")
 
     if repeated.isEmpty():
         return without(docs, durable(plain))
     # Rows that share an id are told apart by their sets.
     once = without(docs, durable(plain.union(repeated)))
-    several = docs.join(repeated.select(F.col("doc_id").alias("__id")), F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left_semi")
+    several = docs.join(repeated.select(F.col("doc_id").alias(key)), number == F.col(key), "left_semi")
 
     @F.pandas_udf("long")
     def sid_of(texts: pd.Series) -> pd.Series:
         found = [shingles(x, n) if x else np.zeros(0) for x in texts]
         return pd.Series([set_hash(g) if len(g) else None for g in found], dtype="Int64")
 
-    marked = several.withColumn("__sid", sid_of(F.col(f"`{text_col}`").cast("string")))
-    bare = marked.where(F.col("__sid").isNull()).drop("__sid")
-    lost = judged.where("NOT wins").select(F.col("doc_id").alias("__id"), F.col("sid").alias("__lost"))
-    lost = lost.join(judged.where("wins").select(F.col("doc_id").alias("__id"), F.col("sid").alias("__lost")), ["__id", "__lost"], "left_anti").distinct()
-    kept = marked.where(F.col("__sid").isNotNull()).join(lost, (F.col(f"`{id_col}`").cast("long") == F.col("__id")) & (F.col("__sid") == F.col("__lost")), "left_anti")
-    return once.unionByName(kept.dropDuplicates([id_col, "__sid"]).drop("__sid")).unionByName(bare)
+    marked = several.withColumn(sid, sid_of(F.col(f"`{text_col}`").cast("string")))
+    bare = marked.where(F.col(sid).isNull()).drop(sid)
+    won, lost = (judged.where(c).select(F.col("doc_id").alias(key), F.col("sid").alias(sid)).distinct() for c in ("wins", "NOT wins"))
+    lost = lost.join(won, [key, sid], "left_anti").select(key, F.col(sid).alias(sid + "_"))
+    kept = marked.where(F.col(sid).isNotNull()).join(lost, (number == F.col(key)) & (F.col(sid) == F.col(sid + "_")), "left_anti")
+    return once.unionByName(kept.dropDuplicates([id_col, sid]).drop(sid)).unionByName(bare)

@@ -62,7 +62,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per distinct document: doc_id, n_lines, n_kept, keep_runs (with carry: kept, the positions, and the least of each such column).
+    """One row per distinct document: doc_id, n_lines, n_kept, keep_runs (with carry: kept, the positions, and these columns of one of its rows).
 
     Lines are what newline characters separate; two are equal if all their characters are. The first in
     (doc_id, text hash, position) order stays, later ones go, within and across documents. Blank lines (empty or spaces)
@@ -94,7 +94,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Repeated rows bring their blank positions more than once: hence the distinct.
     merged = both.agg(
         F.max("n_lines").alias("n_lines"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kept")))).alias("kept"),
-        *[F.min(c).alias(c) for c in carry],
+        *[F.first(c, ignorenulls=True).alias(c) for c in carry],
     )
 
     @F.pandas_udf("string")
@@ -108,7 +108,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def apply_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the kept lines as text; rows without any line that is not blank go, and of repeated rows all but one.
 
-    Where rows with one id and text differ in other columns, the one whose columns (as a tuple) come first stays.
+    Where rows with one id and text differ in other columns, any one of them stays.
     """
     spark = docs.sparkSession
     rest = [c for c in docs.columns if c not in (id_col, text_col)]

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER, durable, text_of, token_lengths
+from .common import TOKENIZER, durable, text_of, token_lengths, unused
 
 #: The dynamic programme starts once this many tokens of a budget are left (a proportional pass fills what is above).
 DP_SPAN = 65_536
@@ -74,6 +74,11 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
                 take[i] += 1
                 rest -= n
                 moved = True
+    # The programme needs choice: it may place anew one document of each of the shortest lengths.
+    for i in np.argsort(lengths, kind="stable"):
+        if take[i] > 0 and rest + lengths[i] <= DP_SPAN:
+            take[i] -= 1
+            rest += int(lengths[i])
     return take + subset_sum(lengths, counts - take, rest)
 
 
@@ -127,7 +132,8 @@ def select_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Repeated rows are each chosen or not, but can't be told apart afterwards: if one is chosen, all are given once.
     """
-    chosen = durable(mix_sources(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct())
+    number, digest = unused(docs, "__id"), unused(docs, "__th")
+    chosen = durable(mix_sources(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias(number), F.col("th").alias(digest)).distinct())
     small = chosen.count() <= BROADCAST_IDS
-    match = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(f"`{text_col}`") == F.col("__th"))
+    match = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(number)) & (F.xxhash64(f"`{text_col}`") == F.col(digest))
     return docs.join(F.broadcast(chosen) if small else chosen, match, "left_semi")

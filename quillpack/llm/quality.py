@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, unused
 from .hashed import Rows, code_points, lbfgs, ngram_buckets
 from .toxicity import training_rows
 
@@ -154,5 +154,7 @@ def grade(docs: DataFrame, model: QualityModel, at_least: int = 1, cutoff: float
         return pd.DataFrame({"expected": expected, "tail": tail})
 
     kept = [c for c in docs.columns if c.lower() not in ("expected_grade", "p_tail", "keep")]
-    rated = docs.select(*[F.col(f"`{c}`") for c in kept], rate(text_of(text_col)).alias("__rated"))
-    return rated.select(*[F.col(f"`{c}`") for c in kept], F.col("__rated.expected").alias("expected_grade"), F.col("__rated.tail").alias("p_tail"), (F.col("__rated.tail") >= cutoff).alias("keep"))
+    rated = unused(docs, "__rated")
+    own = [F.col(f"`{c}`") for c in kept]
+    expected, tail = F.col(rated)["expected"], F.col(rated)["tail"]
+    return docs.select(*own, rate(text_of(text_col)).alias(rated)).select(*own, expected.alias("expected_grade"), tail.alias("p_tail"), (tail >= cutoff).alias("keep"))
