@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .license_rules import RULES
 
 _GAP = r"(?:\s+(?:(?:\*|//|#|;|--)+\s+)?)"
+_MARKS = re.compile(r"(?<!\S)(?:\*|//|#|;|--)+ ")
 
 
 @dataclass(frozen=True)
@@ -81,7 +82,8 @@ def settle(found: list[tuple[int, int, int]], rules: tuple[Rule, ...]) -> list[t
 def scan_text(text: str, table: str = RULES) -> list[tuple[int, int, int]]:
     """The settled detections (start, end, rule number) in text, in code points."""
     rules, auto = _machine(table)
-    low = text.lower().replace("\n", " ").replace("\r", " ").replace("\t", " ")
+    # As the expressions see it: white space, with comment marks of its own, is one space. So a keyword may run over line ends.
+    low = _MARKS.sub("", " ".join(text.lower().split()))
     gated = {number for _, numbers in auto.iter(low) for number in numbers}
     if not gated:
         return []
@@ -93,7 +95,7 @@ def scan_licenses(docs: DataFrame, table: str = RULES, id_col: str = "doc_id", t
 
     Defined cases: NULL and empty texts have no detections; whole texts are scanned, whatever their length; NULL ids are carried;
     repeated rows each give their detections; between equal detections of two rules the earlier rule wins; other columns
-    are ignored; no rows give no rows. Keywords match in any case, across line ends but with single spaces.
+    are ignored; no rows give no rows. Keywords match in any case and, like the expressions, across line ends and comment marks.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,9 +8,9 @@ from quillpack.llm import license_scan as S
 def brute(text):
     """Every rule on every text, and settling by comparing all pairs."""
     rules = S.read_rules()
-    low = text.lower()
+    low = re.sub(S._GAP, " ", text.lower())
     found = sorted(
-        {(m.start(), m.end(), r.number) for r in rules if any(k in re.sub(r"[\n\r\t]", " ", low) for k in r.keywords) for m in r.pattern.finditer(text) if m.end() > m.start()},
+        {(m.start(), m.end(), r.number) for r in rules if any(k in low for k in r.keywords) for m in r.pattern.finditer(text) if m.end() > m.start()},
         key=lambda d: (-rules[d[2]].priority, d[0] - d[1], d[0], d[2]),
     )
     kept = []
@@ -41,6 +41,12 @@ def test_licences():
     assert names("a mitigation without any licence") == []
 
 
+def test_keywords_run_over_line_ends_and_comment_marks():
+    assert names("/* Licensed under the  Apache\n * License, Version 2.0 */") == ["Apache-2.0"]
+    assert names("# Mozilla Public\n# License, v. 2.0") == ["MPL-2.0"]
+    assert names("// the MIT\r\n// License") == ["MIT"]
+
+
 def test_settling():
     rules = S.read_rules()
     by = {r.priority: r.number for r in rules}
