@@ -39,14 +39,15 @@ DATA_LANGUAGES = ("xml", "json", "yaml", "yml", "log", "txt", "csv", "md", "sql"
 
 
 def fenced_code_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, line_no (from 0), line: the lines inside fences of source languages, of every text that has a fence.
+    """id, line_no (from 0), line: the lines inside fences of source languages; of a text without any fence, all lines.
 
     Whether a line is inside is the parity of the fences above it: a running sum per document.
     """
-    lines = docs.select(F.col(id_col), F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "line"))
+    lines = docs.select(F.col(id_col), F.col(text_col).contains("```").alias("fenced"), F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "line"))
     order = Window.partitionBy(id_col).orderBy("line_no")
     fence = F.col("line").startswith("```")
     marked = lines.withColumn("fence", fence).withColumn("fences", F.sum(fence.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     opened = F.last(F.when(F.col("fence") & (F.col("fences") % 2 == 1), F.lower(F.trim(F.substring("line", 4, 1 << 20)))), True).over(order)
-    inside = marked.withColumn("info", opened).where(~F.col("fence") & (F.col("fences") % 2 == 1) & ~F.col("info").isin(*DATA_LANGUAGES))
+    source = ~F.col("fence") & (F.col("fences") % 2 == 1) & ~F.col("info").isin(*DATA_LANGUAGES)
+    inside = marked.withColumn("info", opened).where(~F.col("fenced") | source)
     return inside.select(id_col, "line_no", "line")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import os
 import shlex
 import sys
 from dataclasses import dataclass, field
+from datetime import datetime
 from pathlib import Path
 
 from ..functions.text import normalise_extensions, parse_shard
 from ..model import PRESETS
 
-#: Spellings, the name they set, and what follows: 'flag', 'one' value or 'many' values.
+VERSION = "0.1"
+#: Spellings, the name they set, and what follows: 'flag', 'one' value, 'maybe' a number, or 'many' values.
 OPTIONS = (
     (("-p", "--paths", "-g", "grab"), "paths", "many"), (("-e", "--extension", "--extensions", "-t", "type"), "extensions", "many"), (("-x", "--exclude", "--excludes", "-y", "yeet"), "exclude", "many"),
     (("--preset", "--presets"), "presets", "many"), (("-z", "--exclude-line-if-start", "zap"), "drop_line_prefixes", "many"), (("--exclude-path",), "exclude_path", "many"),
@@ -19,8 +23,10 @@ OPTIONS = (
     (("--append",), "append", "flag"), (("--no-append",), "no_append", "flag"), (("--unsafe-direct-write",), "direct", "flag"), (("--no-clipboard",), "discard", "flag"), (("--no-sort",), "no_sort", "flag"),
     (("-b", "--brain", "brain"), "brain", "flag"), (("-c", "--compress", "compress"), "compress", "flag"), (("--cluster", "horde"), "cluster", "flag"), (("--cluster-dir",), "cluster_dir", "one"),
     (("--cluster-depth",), "cluster_depth", "one"), (("--shard",), "shard", "one"), (("--dry-run", "--list"), "dry_run", "flag"), (("--count", "--tokens-only"), "count", "flag"),
-    (("--max-memory",), "max_output", "one"), (("--stats",), "stats", "flag"), (("--json-stats",), "json_stats", "one"), (("--history",), "history", "flag"), (("--init-config",), "init_config", "flag"),
+    (("--max-memory",), "max_output", "one"), (("--stats", "--profile-timing"), "stats", "flag"), (("--json-stats", "--profile-json"), "json_stats", "one"), (("--history",), "history", "maybe"), (("--init-config",), "init_config", "flag"),
     (("--validate-config",), "validate_config", "flag"), (("--dump-config",), "dump_config", "flag"), (("--export-schema",), "export_schema", "flag"), (("-v", "--verbose"), "verbose", "flag"), (("--debug",), "debug", "flag"),
+    (("--compressor",), "compressor", "one"), (("--no-cache",), "no_cache", "flag"), (("--profile",), "profile", "one"), (("--save-profile",), "save_profile", "one"), (("--list-profiles",), "list_profiles", "flag"),
+    (("--save",), "save", "flag"), (("--version",), "version", "flag"), (("-h", "--help"), "help", "flag"),
 )
 _BY_NAME = {spelling: (name, kind) for spellings, name, kind in OPTIONS for spelling in spellings}
 
@@ -55,6 +61,8 @@ def parse(argv: list[str]) -> Arguments:
         many = name if kind == "many" else None
         if kind == "flag":
             out.values[name] = True
+        elif kind == "maybe":
+            out.values[name] = int(rest.pop(0)) if rest and rest[0].isdecimal() else 0
         elif kind == "one":
             if not rest or rest[0].lower() in _BY_NAME:
                 out.errors.append(f"{word} needs a value")
@@ -100,47 +108,137 @@ def pack_options(args: Arguments) -> dict[str, object]:
     return out | ({"sort": False} if args.get("no_sort") else {})
 
 
+def layered(argv: list[str]) -> list[str]:
+    """argv behind the arguments of the profile that it names; else behind the saved ones of a file, else of this directory."""
+    from ..sources import profiles
+
+    given = parse(argv)
+    if given.get("profile"):
+        return [*(profiles.load(profiles.PROFILES, str(given.get("profile"))) or []), *argv]
+    return [*(saved_arguments() or profiles.load(profiles.DEFAULTS, ".") or []), *argv]
+
+
+def _plain(argv: list[str], dropped: tuple[str, ...], with_value: tuple[str, ...]) -> list[str]:
+    """argv without the options dropped (and those in with_value, without what follows)."""
+    out, skip = [], False
+    for word in argv:
+        if skip or word in dropped or word in with_value:
+            skip = not skip and word in with_value
+            continue
+        out.append(word)
+    return out
+
+
+def compressor_of(args: Arguments) -> list[str]:
+    """The command of the outside compressor: --compressor, else $QUILLPACK_COMPRESSOR; only with -c."""
+    command = shlex.split(str(args.get("compressor") or os.environ.get("QUILLPACK_COMPRESSOR", ""))) if args.get("compress") or args.get("compressor") else []
+    return [*command, "--no-cache"] if command and args.get("no_cache") else command
+
+
+def _settings_command(args: Arguments, settings) -> str | None:
+    """What a command that only prints prints; None if there is no such command."""
+    from ..sources import profiles
+    from ..sources import settings as S
+
+    if args.get("help"):
+        return "\n".join("  ".join((", ".join(spellings), {"one": "VALUE", "many": "VALUES", "maybe": "[N]"}.get(kind, ""))).rstrip() for spellings, _, kind in OPTIONS)
+    if args.get("version"):
+        return VERSION
+    if args.get("list_profiles"):
+        return "\n".join(f"{name}: {shlex.join(words)}" for name, words in sorted(profiles.read(profiles.PROFILES).items()))
+    if args.get("dump_config"):
+        return S.dump(settings)
+    if args.get("export_schema"):
+        return json.dumps(S.schema(), indent=2)
+    if args.get("init_config"):
+        return str(S.init())
+    if args.get("validate_config"):
+        return "\n".join(": ".join(x) for x in S.validate(settings))
+    return None
+
+
 def main(argv: list[str] | None = None) -> int:
     """Runs a command line; 0 if all went well."""
+    from ..sources import profiles
+    from ..sources import settings as S
+
     argv = list(sys.argv[1:] if argv is None else argv)
-    args = parse([*saved_arguments(), *argv])
+    args = parse(layered(argv))
+    if args.get("profile") and profiles.load(profiles.PROFILES, str(args.get("profile"))) is None:
+        args.errors.append(f"unknown profile: {args.get('profile')}")
     if args.errors:
         print("\n".join(args.errors), file=sys.stderr)
         return 2
+    kept = _plain(argv, ("--save",), ("--save-profile", "--profile"))
+    if args.get("save_profile"):
+        profiles.save(profiles.PROFILES, str(args.get("save_profile")), kept)
+        return 0
+    if args.get("save"):
+        profiles.save(profiles.DEFAULTS, ".", kept)
+        return 0
+    settings = S.load()
+    printed = _settings_command(args, settings)
+    if printed is not None:
+        print(printed)
+        return 0
+
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
+    from ..functions import text as X
     from ..operators import filters, sinks
-    from ..sources import files
-    from ..sources import settings as S
+    from ..operators.report import Report
+    from ..sources import files, history
     from .pack import pack, pack_many
 
-    settings = S.load()
-    for flag, text in (("dump_config", lambda: S.dump(settings)), ("export_schema", lambda: str(S.schema())), ("init_config", lambda: str(S.init())), ("validate_config", lambda: "\n".join(": ".join(x) for x in S.validate(settings)))):
-        if args.get(flag):
-            print(text())
-            return 0
+    report = Report()
     if args.get("force"):
         settings = settings.but(discovery="filesystem")
     settings = settings.but(max_depth=args.get("max_depth", settings.max_depth), cluster_depth=args.get("cluster_depth", settings.cluster_depth))
     spark = SparkSession.builder.getOrCreate()
+    past = str(profiles.folder() / "history")
+    if "history" in args.values:
+        runs = history.numbered(history.read_history(spark, past))
+        if not args.get("history"):
+            shown = runs.orderBy("number").select("number", X.relative_time(F.col("last_run"), F.current_timestamp()).alias("ago"), "directory", F.array_join("arguments", " ").alias("words"))
+            print("\n".join(f"{r.number}. {r.ago}  {r.directory}  {r.words}" for r in shown.collect()))
+            return 0
+        again = runs.where(F.col("number") == args.get("history")).first()
+        if again is None or not os.path.isdir(again.directory):
+            print(f"no such run: {args.get('history')}", file=sys.stderr)
+            return 2
+        os.chdir(again.directory)
+        return main(list(again.arguments))
     options = pack_options(args)
     if args.get("explain"):
         rules = filters.PathRules(**{k: tuple(v) for k, v in options.items() if k in ("extensions", "presets", "exclude", "exclude_path", "include_path")}, search=tuple(options.get("paths", ())))
         print(spark.range(1).select(filters.explain(F.lit(str(args.get("explain"))), rules)).first()[0])
         return 0
     many = bool(args.get("cluster"))
-    root = str(args.get("cluster_dir") or ".")
-    rows = files.scan_cluster(spark, root, settings) if many else files.scan_folder(spark, ".", settings, args.get("changed_since"))
-    result = (pack_many if many else pack)(rows, settings=settings, **options)
+    with report.stage("discovery"):
+        rows = files.scan_cluster(spark, str(args.get("cluster_dir") or "."), settings) if many else files.scan_folder(spark, ".", settings, args.get("changed_since"))
+    with report.stage("plan"):
+        result = (pack_many if many else pack)(rows, settings=settings, compressor=compressor_of(args), **options)
     if args.get("dry_run"):
-        sinks.dry_run(result.rows).show(1 << 30, False)
-    elif args.get("count"):
+        print("\n".join(r.display for r in sinks.dry_run(result.rows).toLocalIterator()))
+        return 0
+    if args.get("count"):
         print(sinks.count_tokens(result.rows).first()[0])
-    elif args.get("output"):
-        sinks.write_document(result.document, str(args.get("output")), bool(args.get("append")) and not args.get("no_append"), bool(args.get("direct")))
-    else:
-        sinks.discard(result.document)
+        return 0
+    with report.stage("output"):
+        if args.get("output"):
+            sinks.write_document(result.document, str(args.get("output")), bool(args.get("append")) and not args.get("no_append"), bool(args.get("direct")))
+        else:
+            sinks.discard(result.document)
+    if args.get("stats") or args.get("json_stats"):
+        with report.stage("totals"):
+            sinks.discard(report.watch(result.rows))
+        report.gather()
+        if args.get("stats"):
+            print(report.to_markdown())
+        if args.get("json_stats"):
+            sinks.write_atomic(str(args.get("json_stats")), report.to_json())
+    history.record(spark, past, os.getcwd(), kept, datetime.now())
     return 0
 
 

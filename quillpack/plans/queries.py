@@ -69,9 +69,9 @@ def path_parts(spark, d):
     return _paths(spark, d).select("ord", X.file_name(p).alias("name"), X.extension(p).alias("extension"), X.module_key(p).alias("module"))
 
 
-@query("SELECT doc_id, replace(replace(left(text, 40), chr(10), chr(65533)), chr(9), chr(65533)) AS shown FROM documents")
+@query(r"SELECT doc_id, regexp_replace(text, '[\x00-\x1F]', chr(65533), 'g') AS shown FROM documents")
 def printable_path(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.printable(F.substring("text", 1, 40)).alias("shown"))
+    return table(spark, d, "documents").select("doc_id", X.printable(F.col("text")).alias("shown"))
 
 
 # --- path filters
@@ -126,15 +126,15 @@ def max_files(spark, d):
 
 # --- content
 
-_DIRTY = "SELECT doc_id AS ord, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN left(text, 50) || chr(0) || text WHEN 2 THEN left(text, 20) || repeat(chr(1), 4) || left(text, 8) WHEN 3 THEN '' ELSE repeat('x', 4096) || chr(0) END AS content FROM documents"
+_DIRTY = "SELECT doc_id AS ord, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN text || chr(0) || text WHEN 2 THEN replace(text, ' ', chr(1)) WHEN 3 THEN '' ELSE repeat('x', 4096) || chr(0) || text END AS content FROM documents"
 
 
 def _dirty(spark: SparkSession, d: str) -> DataFrame:
-    """Texts with a NUL near the start, with control characters, empty, and with a NUL behind the probe, by id in turn."""
+    """Whole texts: as they are, with a NUL behind them (within the probe or not), with control characters for spaces, empty, and with a NUL just behind the probe, by id in turn."""
     t, k = F.col("text"), F.col("doc_id") % 5
     made = (
-        F.when(k == 0, t).when(k == 1, F.concat(F.substring(t, 1, 50), F.lit("\x00"), t)).when(k == 2, F.concat(F.substring(t, 1, 20), F.lit("\x01" * 4), F.substring(t, 1, 8)))
-        .when(k == 3, F.lit("")).otherwise(F.lit("x" * 4096 + "\x00"))
+        F.when(k == 0, t).when(k == 1, F.concat(t, F.lit("\x00"), t)).when(k == 2, F.translate(t, " ", "\x01"))
+        .when(k == 3, F.lit("")).otherwise(F.concat(F.lit("x" * 4096 + "\x00"), t))
     )
     return table(spark, d, "documents").select(F.col("doc_id").alias("ord"), made.alias("content"))
 
@@ -174,15 +174,16 @@ def blank_line_filter(spark, d):
 
 
 @query(
-    """WITH t AS (SELECT doc_id, '```' || CASE doc_id % 3 WHEN 0 THEN 'py' WHEN 1 THEN 'JSON ' ELSE '' END || chr(10) || text || chr(10) || '```' || chr(10) || 'after' || chr(10) || '```go' || chr(10) || lang || chr(10) || '```' AS text FROM documents),
+    """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN text ELSE '```' || CASE doc_id % 3 WHEN 0 THEN 'py' WHEN 1 THEN 'JSON ' ELSE '' END || chr(10) || text || chr(10) || '```' || chr(10) || 'after' || chr(10) || '```go' || chr(10) || lang || chr(10) || '```' END AS text FROM documents),
     l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM t),
     n AS (SELECT *, starts_with(line, '```') AS fence, sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS fences FROM l),
     o AS (SELECT *, last_value(CASE WHEN fence AND fences % 2 = 1 THEN lower(trim(substring(line, 4))) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS info FROM n)
-    SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM o WHERE NOT fence AND fences % 2 = 1 AND info NOT IN ('xml','json','yaml','yml','log','txt','csv','md','sql')"""
+    SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM o JOIN (SELECT doc_id, contains(text, '```') AS fenced FROM t) USING (doc_id) WHERE NOT fenced OR NOT fence AND fences % 2 = 1 AND info NOT IN ('xml','json','yaml','yml','log','txt','csv','md','sql')"""
 )
 def fenced_code_lines(spark, d):
     k = F.col("doc_id") % 3
-    text = F.concat(F.lit("```"), F.when(k == 0, "py").when(k == 1, "JSON ").otherwise(""), F.lit("\n"), "text", F.lit("\n```\nafter\n```go\n"), "lang", F.lit("\n```"))
+    fenced = F.concat(F.lit("```"), F.when(k == 0, "py").when(k == 1, "JSON ").otherwise(""), F.lit("\n"), "text", F.lit("\n```\nafter\n```go\n"), "lang", F.lit("\n```"))
+    text = F.when(F.col("doc_id") % 4 == 3, F.col("text")).otherwise(fenced)
     return lines.fenced_code_lines(table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id", "text")
 
 
@@ -250,10 +251,11 @@ def symbols(spark, d):
     return table(spark, d, "part").select("p_partkey", X.symbol(F.col("p_partkey") - 50).alias("symbol"))
 
 
-@query("SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS BIGINT) AS n, regexp_matches(split_part(text, ' ', 1), '^[\\p{L}\\p{Nd}_]*$') AS is_name, regexp_matches(split_part(text, ' ', 1), '[\\p{L}\\p{Nd}_]{6}') AS is_long FROM documents")
+@query(r"SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS BIGINT) AS n, CAST(len(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^[\p{L}\p{Nd}_]*$'))) AS BIGINT) AS names, CAST(len(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '[\p{L}\p{Nd}_]{6}'))) AS BIGINT) AS long_words FROM documents")
 def literal_search(spark, d):
-    first = F.substring_index("text", " ", 1)
-    return table(spark, d, "documents").select("doc_id", X.count_occurrences(F.col("text"), F.lit("the")).alias("n"), X.is_identifier(first).alias("is_name"), X.has_long_word(first).alias("is_long"))
+    words = F.split("text", " ", -1)
+    names, long_words = F.size(F.filter(words, X.is_identifier)), F.size(F.filter(words, lambda w: X.has_long_word(w)))
+    return table(spark, d, "documents").select("doc_id", X.count_occurrences(F.col("text"), F.lit("the")).alias("n"), names.cast("long").alias("names"), long_words.cast("long").alias("long_words"))
 
 
 @query()
@@ -300,10 +302,10 @@ def totals(spark, d):
     return render.totals(_rendered(spark, d))
 
 
-@query("SELECT doc_id, repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(t, '`+'), lambda x: length(x))), 3)) + 1) AS fence, regexp_replace(t, '[ \\t\\r\\n]+$', '') AS trimmed FROM (SELECT doc_id, left(text, 30) || repeat('`', CAST(doc_id % 7 AS INTEGER)) || 'x' || repeat('`', CAST(doc_id % 3 AS INTEGER)) || '  ' || chr(9) || chr(13) || chr(10) AS t FROM documents)")
+@query("SELECT doc_id, repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(t, '`+'), lambda x: length(x))), 3)) + 1) AS fence, regexp_replace(t, '[ \\t\\r\\n]+$', '') AS trimmed FROM (SELECT doc_id, text || repeat('`', CAST(doc_id % 7 AS INTEGER)) || 'x' || repeat('`', CAST(doc_id % 3 AS INTEGER)) || '  ' || chr(9) || chr(13) || chr(10) AS t FROM documents)")
 def fence_and_trim(spark, d):
     k = F.col("doc_id")
-    t = F.concat(F.substring("text", 1, 30), F.repeat(F.lit("`"), (k % 7).cast("int")), F.lit("x"), F.repeat(F.lit("`"), (k % 3).cast("int")), F.lit("  \t\r\n"))
+    t = F.concat(F.col("text"), F.repeat(F.lit("`"), (k % 7).cast("int")), F.lit("x"), F.repeat(F.lit("`"), (k % 3).cast("int")), F.lit("  \t\r\n"))
     return table(spark, d, "documents").select("doc_id", X.fence_for(t).alias("fence"), X.trim_end(t).alias("trimmed"))
 
 
@@ -362,10 +364,12 @@ def cluster_pack(spark, d):
 # --- snapshots and history
 
 
-@query("SELECT doc_id AS ord, source || '/' || doc_id AS relative FROM documents WHERE doc_id % 7 = 0 OR (doc_id % 5 = 0 AND text <> '')")
+@query("SELECT doc_id AS ord, source || '/' || doc_id AS relative FROM documents WHERE contains(text, '!!') OR doc_id NOT IN (SELECT doc_id FROM labels)")
 def changed_since(spark, d):
+    """The documents against an older snapshot of them: it has the labelled ones, all without '!!'."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("relative"), F.col("text").alias("content"))
-    old = docs.where("ord % 7 <> 0").withColumn("content", F.when(F.col("ord") % 5 == 0, F.lit("")).otherwise(F.col("content")))
+    labelled = table(spark, d, "labels").select(F.col("doc_id").alias("ord"))
+    old = docs.join(labelled, "ord", "left_semi").withColumn("content", F.replace("content", F.lit("!!"), F.lit("")))
     return S.changed_since(old, docs).select("ord", "relative")
 
 
