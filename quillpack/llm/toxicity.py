@@ -80,7 +80,7 @@ def calibrate(z: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> tuple[float, fl
     return a, float(b) - a * centre
 
 
-def fit_rows(texts: list[str], toxic: np.ndarray, orders: tuple[int, ...] = ORDERS, bits: int = BITS, smooth: float = 0.1, l2: float = 1e-2) -> ToxicityModel:
+def fit_rows(texts: list[str], toxic: np.ndarray, orders: tuple[int, ...] = ORDERS, bits: int = BITS, smooth: float = 1.0, l2: float = 1e-2) -> ToxicityModel:
     """The model of these texts; with one class only, a constant.
 
     Three quarters of the texts give the weights. On the other quarter, which the weights have not seen, the score is made a
