@@ -401,8 +401,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-#: Ids up to which the documents to drop are broadcast (16 MB); beyond, they are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Ids up to which the documents to drop are broadcast (under 100 MB); beyond, they are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, t: int = T, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

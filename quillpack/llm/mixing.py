@@ -123,8 +123,8 @@ def mix_sources(
     return ranked.where("rank <= take").select("doc_id", "source", "n_tokens", "th")
 
 
-#: Ids up to which the chosen documents are broadcast (16 MB); beyond, they are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Ids up to which the chosen documents are broadcast (70 MB, at the 140 bytes a row that were measured); beyond, they are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def select_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
