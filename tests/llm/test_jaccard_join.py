@@ -94,11 +94,19 @@ def test_large_nodes_pass_through_the_shuffle(spark, monkeypatch):
     sig = [J.signature(J.shingles(t)).tobytes() for t in texts]
     rows = pa.RecordBatch.from_arrays([pa.array([7] * 60), pa.array([0] * 60, pa.int32()), pa.array([1] * 60, pa.int32()), pa.array(range(60)), pa.array(sig)], names=["path", "run", "level", "sid", "sig"])
     # A node above LOCAL gives rows of its children and no pair; a child's rows all stand under one path.
+    # One that chooses no coordinate (about one in five) ends there.
+    grown = 0
     for path in range(40):
-        out = pa.Table.from_batches(list(J._split(J.THRESHOLD, J.T)(iter([rows.set_column(0, "path", pa.array([path] * 60))]))))
+        batches = list(J._split(J.THRESHOLD, J.T)(iter([rows.set_column(0, "path", pa.array([path] * 60))])))
+        assert bool(batches) == bool(len(J.chosen(path, 1, 1, J.T, J.THRESHOLD)))
+        if not batches:
+            continue
+        grown += 1
+        out = pa.Table.from_batches(batches)
         assert set(out["b"].to_pylist()) <= {None}
         for p, level, a in zip(out["path"].to_pylist(), out["level"].to_pylist(), out["a"].to_pylist()):
             assert p is not None and level == 2 and 0 <= a < 60
+    assert grown > 20
     deepest = rows.set_column(2, "level", pa.array([J.DEPTH] * 60, pa.int32()))
     out = pa.Table.from_batches(list(J._split(J.THRESHOLD, J.T)(iter([deepest]))))
     assert len([b for b in out["b"].to_pylist() if b is not None]) > 1000
