@@ -37,9 +37,13 @@ _KINDS = list(ENTITIES)
 _FORM = re.compile("|".join(f"(?P<{k}>{p})" for k, p in ENTITIES.items()).replace(r"\1", "(?P=gap)").replace("([ -]?)", "(?P<gap>[ -]?)"))
 _MAYBE = re.compile(r"[0-9@]")
 _WORDS = ("token", "secret", "passw", "api", "sk-", "sk_", "xoxb", "ghp")
-#: Share of an entity's information that a term may give away, and the distinct texts in which the two must meet to be judged.
-DISCLOSURE, SUPPORT = 0.8, 3
+#: Share of an entity's information that a term may give away, and the distinct texts in which the two must meet to be judged: one is enough.
+DISCLOSURE, SUPPORT = 0.8, 1
 PREFIX = 3
+#: Terms in more than this share of the documents are bounded in number (by that of a mean document's terms, divided by it).
+FREQUENT = 0.005
+#: Frequent terms up to which they are broadcast; beyond, they are joined with the others.
+BROADCAST_TERMS = 500_000
 
 
 def find_entities(text: str) -> list[tuple[int, int, str]]:
@@ -113,33 +117,49 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def revealing_terms(private: DataFrame, rows: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """entity, term, general: the terms that give an entity away.
+    """th, term, general, texts: the terms that give away an entity of the text th, and in how many distinct texts they meet it.
 
-    private has the texts that mention entities (th, text, entities); rows (text) is the whole corpus.
+    private has the texts that mention entities (th, text, entities); rows (text) is the whole corpus. Entities that stand in one
+    and the same text only are judged as one, for their counts are equal.
     """
 
     @F.pandas_udf("array<struct<term: long, cls: long>>")
     def terms_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"term": a, "cls": b} for a, b in zip(*map(np.ndarray.tolist, _terms_of(blank_entities(t, find_entities(t)))), strict=True)] for t in texts], dtype="object")
+        out = []
+        for t in texts:
+            terms, classes = _terms_of(blank_entities(t, find_entities(t)))
+            own = np.unique(classes)  # a class is a row of its own, whose term is its complement
+            out.append([{"term": a, "cls": b} for a, b in zip(np.concatenate([terms, ~own]).tolist(), np.concatenate([classes, own]).tolist(), strict=True)])
+        return pd.Series(out, dtype="object")
 
     n_docs = rows.count()
-    mentions = private.select("th", "text", F.explode("entities").alias("entity"))
-    common = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.count_distinct("th").alias("texts")).where((F.col("texts") >= support) & (F.col("n_e") < n_docs)).drop("texts")
-    near = mentions.join(common, "entity").select("entity", "n_e", "th", F.explode(terms_of("text")).alias("t")).select("entity", "n_e", "th", "t.term", "t.cls")
-    by_term = durable(near.groupBy("entity", "n_e", "term", "cls").agg(F.count(F.lit(1)).alias("n_te"), F.count_distinct("th").alias("texts")).where(F.col("texts") >= support))
-    wanted = by_term.select("term").union(by_term.select(F.bitwise_not("cls"))).distinct()
-    counts = rows.select("text").mapInArrow(_count_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = durable(counts.join(wanted, "term", "left_semi"))
+    texts = durable(private.groupBy("th").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"), F.first("entities").alias("entities")))
+    mentions = texts.select("th", "copies", F.explode("entities").alias("entity"))
+    stats = mentions.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts")).where((F.col("texts") >= support) & (F.col("n_e") < n_docs))
+    keyed = mentions.join(stats, "entity").select("th", F.when(F.col("texts") == 1, F.xxhash64(F.lit("text"), "th")).otherwise(F.xxhash64(F.lit("entity"), "entity")).alias("key"), "n_e").distinct()
+    keyed = durable(keyed)
+    near = texts.join(keyed.groupBy("th").agg(F.collect_list(F.struct("key", "n_e")).alias("keys")), "th").select("copies", "keys", F.explode(terms_of("text")).alias("t"))
+    near = near.select("copies", F.explode("keys").alias("k"), "t.term", "t.cls").select("k.key", "k.n_e", "copies", "term", "cls")
+    counts = durable(rows.select("text").mapInArrow(_count_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")))
+    # A term in as many documents as this can't reveal the entity, even if it stands beside each mention; a class neither.
+    bound = F.col("n_e") * F.pow(F.lit(float(n_docs)) / F.col("n_e"), F.lit(1 - disclosure)) * (1 + 1e-9)
+    frequent = counts.where(F.col("n") > n_docs * FREQUENT)
+    if frequent.count() <= BROADCAST_TERMS:
+        beside = near.join(F.broadcast(frequent.select(F.col("term").alias("often"), "n")), (F.col("term") == F.col("often")) & (F.col("n") > bound), "left_anti")
+    else:
+        beside = near
+    beside = beside.join(counts, "term").where(F.col("n") <= bound)
+    by_term = durable(beside.groupBy("key", "n_e", "term", "cls", "n").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts")))
     ic = F.log2(F.lit(float(n_docs)) / F.col("n_e"))
 
-    def share(n_te: str, n_t: str):
-        return F.log2(F.col(n_te) * F.lit(float(n_docs)) / (F.col(n_t).cast("double") * F.col("n_e"))) / ic
+    def share(both: str):
+        return F.log2(F.col(both) * F.lit(float(n_docs)) / (F.col("n").cast("double") * F.col("n_e"))) / ic
 
-    revealing = by_term.join(counts.select("term", F.col("n").alias("n_t")), "term").where(share("n_te", "n_t") > disclosure)
-    classes = counts.select(F.bitwise_not("term").alias("cls"), F.col("n").alias("n_c"))
-    judged = near.join(revealing.select("entity", "cls").distinct(), ["entity", "cls"], "left_semi").groupBy("entity", "n_e", "cls").agg(F.count_distinct("th").alias("n_ce"))
-    judged = judged.join(classes, "cls").select("entity", "cls", (share("n_ce", "n_c") <= disclosure).alias("general"))
-    return revealing.join(judged, ["entity", "cls"], "left").select("entity", "term", F.coalesce("general", F.lit(False)).alias("general"))
+    is_class = F.col("term") == F.bitwise_not("cls")
+    revealing = by_term.where(~is_class & (F.col("texts") >= support) & (share("n_te") > disclosure))
+    strict = by_term.where(is_class & (share("texts") > disclosure)).select("key", "cls", F.lit(False).alias("general"))
+    found = revealing.join(strict, ["key", "cls"], "left").select("key", "term", F.coalesce("general", F.lit(True)).alias("general"), "texts")
+    return keyed.select("th", "key").join(found, "key").select("th", "term", "general", "texts")
 
 
 def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,8 +188,7 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
     private = durable(flagged.where("private").select("doc_id", F.xxhash64("text").alias("th"), "text", entities_of("text").alias("entities")))
     reveal = revealing_terms(private, rows, disclosure, support)
     # Per text, a term that any of its entities forbids outright is removed.
-    by_text = private.select("th", F.explode("entities").alias("entity")).distinct().join(reveal, "entity")
-    by_term = by_text.groupBy("th", "term").agg(F.min("general").alias("general"))
+    by_term = reveal.groupBy("th", "term").agg(F.min("general").alias("general"))
     lists = by_term.groupBy("th").agg(F.collect_list(F.when(~F.col("general"), F.col("term"))).alias("removed"), F.collect_list(F.when(F.col("general"), F.col("term"))).alias("general"))
     cleaned = private.join(lists, "th", "left").select("doc_id", clean("text", "removed", "general").alias("x")).select("doc_id", "x.text", "x.n_entities", "x.n_terms")
     untouched = flagged.where(~F.col("private")).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit(0).cast("long").alias("n_terms"))

@@ -95,3 +95,13 @@ def test_awkward_rows(spark):
     assert {r.text for r in rows if r.doc_id == 41} == {"[EMAIL]"} and [r.text for r in rows if r.doc_id == 3] == [None] and [r.text for r in rows if r.doc_id == 2] == [""]
     assert cases.same(P.sanitise(cases.crowded(docs)), got)
     assert P.sanitise(cases.empty(spark)).count() == 0
+
+
+def test_entities_of_one_text_and_of_two_are_protected(spark):
+    texts = [f"the harbour is quiet today number {i}" for i in range(60)]
+    texts += ["the grumblefoot wrote from one@gov.example.org", "the wobblekin called 555-1234 today", "then wobblekin called 555-1234 again"]
+    docs = cases.documents(spark, [*enumerate(texts), (len(texts), texts[60])])
+    got = {r.doc_id: r.text for r in P.sanitise(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [t for t, _, _ in brute([*texts, texts[60]])][:-1] and got[len(texts)] == got[60]
+    assert not any(w in got[i] for i, w in ((60, "grumblefoot"), (61, "wobblekin"), (62, "wobblekin"))) and got[60].startswith("the ")
+    assert all(got[i] == texts[i] for i in range(60))
