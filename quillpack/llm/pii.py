@@ -3,8 +3,8 @@
 Protected entities (addresses, numbers, secrets) are found by form and replaced. But other words can give them away: the
 corpus tells how strongly. With document frequencies over the whole corpus, the pointwise mutual information of a term
 and an entity is PMI = log2(n(t, e) N / (n(t) n(e))), and the entity's own information is IC = log2(N / n(e)). A term whose PMI exceeds
-`disclosure` of the IC reveals too much: in documents that mention the entity it is generalised to its first letters
-if those, as a class of words, reveal less than that, and removed otherwise.
+`disclosure` of the IC reveals too much: it is generalised to its first letters if those, as a class of words,
+reveal less than that, and removed otherwise: in the documents that mention the entity and, once it met it in several texts, in all.
 
 Term counts are taken over all documents, combined in the map tasks. Only documents with entities (and their texts) are shuffled.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
-from .words import words
+from .words import words, words_and_prefixes
 
 #: Kinds of entity and their forms; the first that matches at a place wins.
 ENTITIES = {
@@ -42,7 +42,9 @@ DISCLOSURE, SUPPORT = 0.8, 1
 PREFIX = 3
 #: Terms in more than this share of the documents are bounded in number (by that of a mean document's terms, divided by it).
 FREQUENT = 0.005
-#: Frequent terms up to which they are broadcast; beyond, they are joined with the others.
+#: Distinct texts in which a term must meet an entity to be taken out of texts that don't mention it: one met by chance in one text says nothing of others.
+SPREAD = 3
+#: Terms (frequent ones, or those to take out everywhere) up to which they are broadcast; beyond, they are joined.
 BROADCAST_TERMS = 500_000
 
 
@@ -90,8 +92,7 @@ def sanitise_text(text: str, removed: set[int], general: set[int]) -> tuple[str,
 
 def _terms_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (term, prefix class) hashes of a text."""
-    _, _, h = words(text)
-    _, _, p = words(text, PREFIX)
+    h, p = words_and_prefixes(text, PREFIX)
     h, first = np.unique(h, return_index=True)
     return h.view(np.int64), p[first].view(np.int64)
 
@@ -110,12 +111,33 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             terms, classes = _terms_of(blank_entities(t := text.as_py() or "", find_entities(t)))
             held += [terms, ~np.unique(classes)]
             size += len(terms)
-        if size > 4_000_000:  # a flush of the combiner: counts are summed later all the same
+        if size > 1_000_000:  # a flush of the combiner: counts are summed later all the same
             yield flush()
             held, size = [], 0
     yield flush()
 
 
+def _near_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (copies, keys, text): a row (key, n_e, copies, term, cls) per key and distinct term of the text, and per class (whose term is its complement)."""
+    names = ["key", "n_e", "copies", "term", "cls"]
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        for copies, keys, text in zip(*batch.columns, strict=True):
+            t = text.as_py()
+            terms, classes = _terms_of(blank_entities(t, find_entities(t)))
+            own = np.unique(classes)
+            terms, classes = np.concatenate([terms, ~own]), np.concatenate([classes, own])
+            for k in keys.as_py():
+                held.append([np.full(len(terms), x, dtype=np.int64) for x in (k["key"], k["n_e"], copies.as_py())] + [terms, classes])
+                size += len(terms)
+                if size > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+                    held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+
+
 def revealing_terms(private: DataFrame, rows: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """th, term, general, texts: the terms that give away an entity of the text th, and in how many distinct texts they meet it.
 
@@ -123,23 +145,14 @@ def revealing_terms(private: DataFrame, rows: DataFrame, disclosure: float = DIS
     and the same text only are judged as one, for their counts are equal.
     """
 
-    @F.pandas_udf("array<struct<term: long, cls: long>>")
-    def terms_of(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            terms, classes = _terms_of(blank_entities(t, find_entities(t)))
-            own = np.unique(classes)  # a class is a row of its own, whose term is its complement
-            out.append([{"term": a, "cls": b} for a, b in zip(np.concatenate([terms, ~own]).tolist(), np.concatenate([classes, own]).tolist(), strict=True)])
-        return pd.Series(out, dtype="object")
-
     n_docs = rows.count()
     texts = durable(private.groupBy("th").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"), F.first("entities").alias("entities")))
     mentions = texts.select("th", "copies", F.explode("entities").alias("entity"))
     stats = mentions.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts")).where((F.col("texts") >= support) & (F.col("n_e") < n_docs))
     keyed = mentions.join(stats, "entity").select("th", F.when(F.col("texts") == 1, F.xxhash64(F.lit("text"), "th")).otherwise(F.xxhash64(F.lit("entity"), "entity")).alias("key"), "n_e").distinct()
     keyed = durable(keyed)
-    near = texts.join(keyed.groupBy("th").agg(F.collect_list(F.struct("key", "n_e")).alias("keys")), "th").select("copies", "keys", F.explode(terms_of("text")).alias("t"))
-    near = near.select("copies", F.explode("keys").alias("k"), "t.term", "t.cls").select("k.key", "k.n_e", "copies", "term", "cls")
+    listed = keyed.groupBy("th").agg(F.collect_list(F.struct("key", "n_e")).alias("keys"))
+    near = texts.join(listed, "th").select("copies", "keys", "text").mapInArrow(_near_terms, "key long, n_e long, copies long, term long, cls long")
     counts = durable(rows.select("text").mapInArrow(_count_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")))
     # A term in as many documents as this can't reveal the entity, even if it stands beside each mention; a class neither.
     bound = F.col("n_e") * F.pow(F.lit(float(n_docs)) / F.col("n_e"), F.lit(1 - disclosure)) * (1 + 1e-9)
@@ -162,10 +175,11 @@ def revealing_terms(private: DataFrame, rows: DataFrame, disclosure: float = DIS
     return keyed.select("th", "key").join(found, "key").select("th", "term", "general", "texts")
 
 
-def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, spread: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (sanitised), n_entities, n_terms of every row.
 
-    Texts without entities come back as they are. Defined cases: a NULL text stays NULL and an empty one empty, with no entities; NULL ids are carried; a repeated
+    Terms go from the texts that mention an entity they give away and, with spread, from all texts if they meet it in so many distinct
+    ones; without spread, texts without entities come back as they are. Defined cases: a NULL text stays NULL and an empty one empty, with no entities; NULL ids are carried; a repeated
     row counts as often as it occurs in frequencies, once as support; an entity that every document mentions has no
     information to protect and reveals no terms; other columns are ignored; no rows give no rows.
     """
@@ -179,17 +193,59 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
     def entities_of(texts: pd.Series) -> pd.Series:
         return pd.Series([sorted({f"{k}:{normal_form(t[s:e], k)}" for s, e, k in find_entities(t)}) for t in texts], dtype="object")
 
-    @F.pandas_udf("text string, n_entities long, n_terms long")
-    def clean(texts: pd.Series, removed: pd.Series, general: pd.Series) -> pd.DataFrame:
-        out = [sanitise_text(t, set(() if r is None else r), set(() if g is None else g)) for t, r, g in zip(texts, removed, general, strict=True)]
-        return pd.DataFrame(out, columns=["text", "n_entities", "n_terms"])
+    @F.pandas_udf("array<long>")
+    def terms_in(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(words(blank_entities(t, find_entities(t)))[2]).view(np.int64) if t else [] for t in texts], dtype="object")
 
     flagged = rows.withColumn("private", mentions_any("text"))
     private = durable(flagged.where("private").select("doc_id", F.xxhash64("text").alias("th"), "text", entities_of("text").alias("entities")))
     reveal = revealing_terms(private, rows, disclosure, support)
+    own = reveal.select("th", "term", "general")
+    wide = None
+    if spread is not None:
+        everywhere = durable(reveal.where(F.col("texts") >= spread).groupBy("term").agg(F.min("general").alias("general")))
+        if everywhere.count() <= BROADCAST_TERMS:
+            listed = everywhere.orderBy("term").toArrow()
+            wide = docs.sparkSession.sparkContext.broadcast((listed["term"].to_numpy(), listed["general"].to_numpy()))
+        else:
+            held = rows.select(F.xxhash64("text").alias("th"), F.explode(terms_in("text")).alias("term"))
+            own = own.union(held.join(everywhere, "term").select("th", "term", "general"))
+
+    def cleaned_up(texts: pd.Series, removed: pd.Series, general: pd.Series, private: bool) -> pd.DataFrame:
+        terms, mild = wide.value if wide is not None else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool))
+        out = []
+        for t, r, g in zip(texts, removed, general, strict=True):
+            gone, cut = set(() if r is None else r), set(() if g is None else g)
+            found = find_entities(t) if private else []
+            if t and len(terms):
+                h = words(blank_entities(t, found) if found else t)[2].view(np.int64)
+                at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+                hit = at[terms[at] == h]
+                gone |= set(terms[hit[~mild[hit]]].tolist())
+                cut |= set(terms[hit[mild[hit]]].tolist())
+            out.append(sanitise_text(t, gone, cut) if found or (t and (gone or cut)) else (t, 0, 0))
+        return pd.DataFrame(out, columns=["text", "n_entities", "n_terms"])
+
+    @F.pandas_udf("text string, n_entities long, n_terms long")
+    def clean(texts: pd.Series, removed: pd.Series, general: pd.Series) -> pd.DataFrame:
+        return cleaned_up(texts, removed, general, True)
+
+    @F.pandas_udf("text string, n_entities long, n_terms long")
+    def clean_other(texts: pd.Series, removed: pd.Series, general: pd.Series) -> pd.DataFrame:
+        return cleaned_up(texts, removed, general, False)
+
     # Per text, a term that any of its entities forbids outright is removed.
-    by_term = reveal.groupBy("th", "term").agg(F.min("general").alias("general"))
+    by_term = own.groupBy("th", "term").agg(F.min("general").alias("general"))
     lists = by_term.groupBy("th").agg(F.collect_list(F.when(~F.col("general"), F.col("term"))).alias("removed"), F.collect_list(F.when(F.col("general"), F.col("term"))).alias("general"))
+    none = F.lit(None).cast("array<long>")
+    others = flagged.where(~F.col("private")).select("doc_id", "text")
+    if spread is None or (wide is not None and not len(wide.value[0])):
+        untouched = others.select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit(0).cast("long").alias("n_terms"))
+    else:
+        if wide is None:
+            others = others.withColumn("th", F.xxhash64("text")).join(lists, "th", "left")
+        else:
+            others = others.withColumn("removed", none).withColumn("general", none)
+        untouched = others.select("doc_id", clean_other("text", "removed", "general").alias("x")).select("doc_id", "x.text", "x.n_entities", "x.n_terms")
     cleaned = private.join(lists, "th", "left").select("doc_id", clean("text", "removed", "general").alias("x")).select("doc_id", "x.text", "x.n_entities", "x.n_terms")
-    untouched = flagged.where(~F.col("private")).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit(0).cast("long").alias("n_terms"))
     return cleaned.unionByName(untouched)

@@ -53,7 +53,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.sanitise(_table(spark, sf_dir, "documents"))
+    return pii.sanitise(_table(spark, sf_dir, "documents"), spread=pii.SPREAD)
 
 
 def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,16 +32,29 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def words(text: str, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the runs of letters and digits; Latin letters in lower case. With prefix, hashes of that many first characters."""
+    starts, ends, total, down = _sums(text)
+    return starts, ends, _hashes(starts, ends if prefix is None else np.minimum(ends, starts + prefix), total, down)
+
+
+def words_and_prefixes(text: str, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of words(text) and of words(text, prefix), at the cost of one."""
+    starts, ends, total, down = _sums(text)
+    return _hashes(starts, ends, total, down), _hashes(starts, np.minimum(ends, starts + prefix), total, down)
+
+
+def _hashes(starts: np.ndarray, stops: np.ndarray, total: np.ndarray, down: np.ndarray) -> np.ndarray:
+    return mix((total[stops] - total[starts]) * down[starts]) if len(starts) else np.zeros(0, dtype=np.uint64)
+
+
+def _sums(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words, running sums of the characters' terms, and the powers that shift a sum to place 0."""
     raw = code_points(text)
     latin = raw < _LATIN
     at = np.where(latin, raw, 0)
     word = np.where(latin, _IS_WORD[at], ~(((raw >= 0x2000) & (raw < 0x2070)) | ((raw >= 0x3000) & (raw < 0x3040))))
     edges = np.flatnonzero(np.diff(word.astype(np.int8), prepend=0, append=0))
     starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return starts, ends, np.zeros(0, dtype=np.uint64)
     up, down = _power(len(raw) + 1)
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((np.where(latin, _LOWER[at], raw).astype(np.uint64) + np.uint64(7)) * up[: len(raw)], out=total[1:])
-    stops = ends if prefix is None else np.minimum(ends, starts + prefix)
-    return starts, ends, mix((total[stops] - total[starts]) * down[starts])
+    return starts, ends, total, down

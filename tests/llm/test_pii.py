@@ -105,3 +105,14 @@ def test_entities_of_one_text_and_of_two_are_protected(spark):
     assert [got[i] for i in range(len(texts))] == [t for t, _, _ in brute([*texts, texts[60]])][:-1] and got[len(texts)] == got[60]
     assert not any(w in got[i] for i, w in ((60, "grumblefoot"), (61, "wobblekin"), (62, "wobblekin"))) and got[60].startswith("the ")
     assert all(got[i] == texts[i] for i in range(60))
+
+
+def test_terms_go_from_texts_that_do_not_mention_the_entity(spark, monkeypatch):
+    texts = [*corpus(), "zorblax went home", "the quiet wobblekin", "call 555-1234, wobblekin", "zorblax is at 10.0.0.1"]
+    docs = cases.documents(spark, list(enumerate(texts)))
+    got = {r.doc_id: (r.text, r.n_entities, r.n_terms) for r in P.sanitise(docs, spread=P.SPREAD).collect()}
+    n = len(texts)
+    assert got[n - 4] == ("[REMOVED] went home", 0, 1) and got[n - 1][0].startswith("[REMOVED]") and got[n - 1][0].endswith("[IP]")
+    assert got[n - 3] == (texts[n - 3], 0, 0) and "wobblekin" not in got[n - 2][0] and all(got[i] == (texts[i], 0, 0) for i in range(60))
+    monkeypatch.setattr(P, "BROADCAST_TERMS", 0)
+    assert {r.doc_id: (r.text, r.n_entities, r.n_terms) for r in P.sanitise(docs, spread=P.SPREAD).collect()} == got
