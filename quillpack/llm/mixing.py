@@ -17,6 +17,8 @@ from .common import TOKENIZER, durable, text_of, token_lengths, unused
 
 #: The dynamic programme starts once this many tokens of a budget are left (a proportional pass fills what is above).
 DP_SPAN = 65_536
+#: What the query asks for: this part of all tokens, by weights n ** 0.7 of sources of n tokens.
+SHARE = 0.8
 
 
 def subset_sum(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -83,14 +85,14 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
 
 
 def mix_sources(
-    docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, budget: int | None = None, seed: int = 17,
+    docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, budget: int | None = None, share: float | None = None, seed: int = 17,
     tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """The chosen documents: doc_id, source, n_tokens, th (hash of the text).
 
     weights gives each source's share of the tokens (sources that it lacks get none); without it a source
-    of n tokens weighs n ** temperature. budget is the tokens of the mix; without it, as many as the
-    weights allow with no document used twice. A source with too few tokens for its share gives all it has.
+    of n tokens weighs n ** temperature. budget is the tokens of the mix, or share their part of all tokens of the weighed sources; without either, as many as the
+    weights allow with no document used twice. A source with too few tokens for its part gives all it has, and the others fill the rest by their weights.
     Defined cases: a NULL source is a source of its own; empty and NULL texts have no tokens and are never chosen;
     every row counts as a document, repeated ones too; a NULL doc_id is carried as it is; ties in the seeded order
     go by doc_id, then text hash; other columns are ignored; no rows give no rows.
@@ -109,8 +111,17 @@ def mix_sources(
             weigh = F.when(F.col("skey") == f"={name}", F.lit(float(w))).otherwise(weigh)
     per_source = per_source.withColumn("w", weigh).where("w > 0")
     room = F.min(F.col("total") / F.col("w")) * F.sum("w") if budget is None else F.lit(float(budget))
-    whole = per_source.agg(F.sum("w").alias("all_w"), room.alias("tokens"))
-    shares = per_source.crossJoin(whole).select("skey", F.floor(F.col("tokens") * F.col("w") / F.col("all_w") + F.lit(1e-6)).cast("long").alias("budget"))
+    if budget is None and share is not None:
+        room = F.sum("total").cast("double") * F.lit(float(share))
+    whole = per_source.agg(room.alias("tokens"))
+    # With level tokens a weight, a source gives least(total, level * w). From the first source that runs short on, what is left of
+    # the budget over the weights that are left bounds the level from below, and meets it at the last one that does.
+    rising = Window.orderBy(F.col("total") / F.col("w"), "skey").rowsBetween(Window.unboundedPreceding, -1)
+    falling = Window.orderBy((F.col("total") / F.col("w")).desc(), F.col("skey").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked_sources = per_source.withColumn("given", F.coalesce(F.sum("total").over(rising), F.lit(0))).withColumn("open_w", F.sum("w").over(falling))
+    level = ranked_sources.crossJoin(whole).agg(F.max((F.col("tokens") - F.col("given")) / F.col("open_w")).alias("level"))
+    part = F.least(F.col("total"), F.floor(F.col("level") * F.col("w") + F.lit(1e-6)).cast("long"))
+    shares = per_source.crossJoin(level).select("skey", part.alias("budget"))
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("n_tokens")

@@ -45,7 +45,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens")
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"), share=mixing.SHARE).select("doc_id", "source", "n_tokens")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,3 +139,14 @@ def test_packing_awkward_rows(spark):
     assert got.where("doc_id = 1").count() == 3
     assert cases.same(P.pack_balanced(cases.crowded(docs)), got)
     assert P.pack_balanced(cases.empty(spark)).count() == 0
+
+
+def test_tiny_and_null_sources_do_not_shrink_a_hot_one(spark):
+    rows = [(i, "word " * (1 + i % 9), "en", "hot") for i in range(2000)] + [(5000 + i, "word " * 5, "en", "mid") for i in range(200)] + [(9000, "c c", "en", "tiny"), (9001, "d d d", "en", None)]
+    docs = cases.documents(spark, rows).withColumn("source", F.when(F.col("doc_id") != 9001, F.col("source")))
+    every = {r.source: r.n for r in M.mix_sources(docs, share=1.0).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    got = {r.source: r.n for r in M.mix_sources(docs, share=M.SHARE).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    total = sum(every.values())
+    assert len(every) == 4 and M.mix_sources(docs, share=1.0).count() == len(rows)
+    assert got["tiny"] == every["tiny"] and got[None] == every[None] and got["mid"] == every["mid"]
+    assert total * M.SHARE - 20 <= sum(got.values()) <= total * M.SHARE
