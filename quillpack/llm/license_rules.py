@@ -72,10 +72,10 @@ GPL-2.0|80|gnu general public license|gnu general public license,? (?:version |v
 GPL-1.0|80|gnu general public license|gnu general public license,? (?:version |v\.? ?)1(?:\.0)?
 GPL|50|gnu general public license|gnu general public license
 GPL|45|gnu gpl|\bgnu gpl\b
-GPL-3.0-or-later|60|gplv3+,gpl-3|\bgpl[- ]?(?:v|version )?3(?:\.0)?(?:\+| or later)
-GPL-2.0-or-later|60|gplv2+,gpl-2|\bgpl[- ]?(?:v|version )?2(?:\.0)?(?:\+| or later)
-GPL-3.0|55|gplv3,gpl-3,gpl v3,gpl version 3|\bgpl[- ]?(?:v|version )?3(?:\.0)?\b
-GPL-2.0|55|gplv2,gpl-2,gpl v2,gpl version 2|\bgpl[- ]?(?:v|version )?2(?:\.0)?\b
+GPL-3.0-or-later|60|gpl|\bgpl[- ]?(?:v|version )?3(?:\.0)?(?:\+| or later)
+GPL-2.0-or-later|60|gpl|\bgpl[- ]?(?:v|version )?2(?:\.0)?(?:\+| or later)
+GPL-3.0|55|gpl|\bgpl[- ]?(?:v|version )?3(?:\.0)?\b
+GPL-2.0|55|gpl|\bgpl[- ]?(?:v|version )?2(?:\.0)?\b
 GPL-copying|60|copy of the gnu general public license|you should have received a copy of the gnu general public license along with
 GPL-warranty|50|implied warranty of,fitness for a particular purpose|without even the implied warranty of merchantability or fitness for a particular purpose
 GPL-2.0-with-classpath|93|classpath|gnu general public license.{0,120}?classpath exception
@@ -128,53 +128,53 @@ BSL-1.0|90|boost software license|distributed under the boost software license,?
 BSL-1.0|80|boost software license|boost software license(?:[ ,-]*(?:version |v\.? ?)1\.0)?
 Zlib|90|altered source versions|altered source versions must be plainly marked as such, and must not be misrepresented
 Zlib|88|express or implied warranty|this software is provided ["'“]?as-is["'”]?, without any express or implied warranty
-Zlib|60|zlib license,zlib/libpng|\bzlib(?:/libpng)? licen[cs]e
+Zlib|60|zlib licen,zlib/libpng|\bzlib(?:/libpng)? licen[cs]e
 Libpng|80|png reference library,libpng license|(?:png reference library license|libpng license)(?: version 2)?
 IJG|80|independent jpeg group|this software is based in part on the work of the independent jpeg group
 OpenSSL|85|openssl project|this product includes software developed by the openssl project
-OpenSSL|60|openssl license|openssl licen[cs]e
+OpenSSL|60|openssl licen|openssl licen[cs]e
 SSLeay|85|eric young|this product includes cryptographic software written by eric young
-curl|80|curl license|\bcurl licen[cs]e
-NTP|85|ntp license|\bntp licen[cs]e
+curl|80|curl licen|\bcurl licen[cs]e
+NTP|85|ntp licen|\bntp licen[cs]e
 Info-ZIP|80|info-zip|info-zip licen[cs]e|this is version [0-9-]{4,12} of the info-zip
 bzip2|80|bzip2|bzip2(?: and libbzip2)? licen[cs]e
 libtiff|85|sam leffler|the names of sam leffler and silicon graphics may not be used
 Unicode-DFS-2016|85|unicode data files|permission is hereby granted[^.]{0,120}unicode data files
 Unicode-TOU|70|unicode terms of use,unicode, inc. license|unicode,? (?:inc\. )?(?:terms of use|license agreement)
-ICU|80|icu license|\bicu licen[cs]e
+ICU|80|icu licen|\bicu licen[cs]e
 W3C|85|w3c software|w3c software(?: and document)? (?:notice and )?licen[cs]e
 W3C-19980720|70|w3c ipr software|w3c ipr software notice
-Python-2.0|85|python software foundation license|python software foundation licen[cs]e(?: agreement)?(?:,? version 2)?
+Python-2.0|85|python software foundation licen|python software foundation licen[cs]e(?: agreement)?(?:,? version 2)?
 CNRI-Python|80|cnri|cnri (?:open source )?(?:gpl-compatible )?licen[cs]e agreement
-PHP-3.01|85|php license|\bphp licen[cs]e,? (?:version |v)3\.01
-PHP-3.0|80|php license|\bphp licen[cs]e(?:,? (?:version |v)3\.0)?\b
-Ruby|70|ruby license,ruby's license|\bruby(?:'s)? licen[cs]e
-Artistic-2.0|80|artistic license|artistic licen[cs]e,? (?:version |v\.? ?)?2(?:\.0)?
-Artistic-1.0|80|artistic license|artistic licen[cs]e,? (?:version |v\.? ?)?1(?:\.0)?
-Artistic|50|artistic license|artistic licen[cs]e
+PHP-3.01|85|php licen|\bphp licen[cs]e,? (?:version |v)3\.01
+PHP-3.0|80|php licen|\bphp licen[cs]e(?:,? (?:version |v)3\.0)?\b
+Ruby|70|ruby licen,ruby's licen|\bruby(?:'s)? licen[cs]e
+Artistic-2.0|80|artistic licen|artistic licen[cs]e,? (?:version |v\.? ?)?2(?:\.0)?
+Artistic-1.0|80|artistic licen|artistic licen[cs]e,? (?:version |v\.? ?)?1(?:\.0)?
+Artistic|50|artistic licen|artistic licen[cs]e
 Perl-same-terms|75|perl itself|(?:under )?the same terms as perl(?: 5)? itself
-Vim|70|vim license|\bvim licen[cs]e
-TCL|85|tcl license,regents of the university of california, sun microsystems|\btcl(?:/tk)? licen[cs]e
-PostgreSQL|85|postgresql license,postgresql global development group|postgresql licen[cs]e
+Vim|70|vim licen|\bvim licen[cs]e
+TCL|85|tcl licen,regents of the university of california, sun microsystems|\btcl(?:/tk)? licen[cs]e
+PostgreSQL|85|postgresql licen,postgresql global development group|postgresql licen[cs]e
 SQLite-blessing|90|in place of a legal notice,may you do good|may you do good and not evil
-SISSL|75|sun industry standards source license|sun industry standards source licen[cs]e
-QPL-1.0|80|q public license|\bq public licen[cs]e(?:,? (?:version |v)1\.0)?
-OSL-3.0|80|open software license|open software licen[cs]e(?:,? (?:version |v\.? ?)3\.0)?
-AFL-3.0|80|academic free license|academic free licen[cs]e(?:,? (?:version |v\.? ?)3\.0)?
-NPOSL-3.0|82|non-profit open software license|non-profit open software licen[cs]e(?: 3\.0)?
-ECL-2.0|80|educational community license|educational community licen[cs]e(?:,? (?:version |v\.? ?)2\.0)?
+SISSL|75|sun industry standards source licen|sun industry standards source licen[cs]e
+QPL-1.0|80|q public licen|\bq public licen[cs]e(?:,? (?:version |v)1\.0)?
+OSL-3.0|80|open software licen|open software licen[cs]e(?:,? (?:version |v\.? ?)3\.0)?
+AFL-3.0|80|academic free licen|academic free licen[cs]e(?:,? (?:version |v\.? ?)3\.0)?
+NPOSL-3.0|82|non-profit open software licen|non-profit open software licen[cs]e(?: 3\.0)?
+ECL-2.0|80|educational community licen|educational community licen[cs]e(?:,? (?:version |v\.? ?)2\.0)?
 NCSA|80|university of illinois/ncsa|university of illinois/ncsa open source licen[cs]e
-MS-PL|80|microsoft public license,ms-pl|microsoft public licen[cs]e(?: \(ms-pl\))?|\bms-pl\b
-MS-RL|80|microsoft reciprocal license,ms-rl|microsoft reciprocal licen[cs]e(?: \(ms-rl\))?|\bms-rl\b
-APSL-2.0|80|apple public source license|apple public source licen[cs]e(?:,? (?:version |v\.? ?)2(?:\.0)?)?
-RPL-1.5|80|reciprocal public license|reciprocal public licen[cs]e(?:,? (?:version |v\.? ?)?1\.5)?
-SPL-1.0|75|sun public license|sun public licen[cs]e(?:,? (?:version |v)1\.0)?
-NPL-1.1|75|netscape public license|netscape public licen[cs]e(?:,? (?:version |v)1\.[01])?
-Nokia|75|nokia open source license|nokia open source licen[cs]e
-Intel|75|intel open source license|intel open source licen[cs]e
+MS-PL|80|microsoft public licen,ms-pl|microsoft public licen[cs]e(?: \(ms-pl\))?|\bms-pl\b
+MS-RL|80|microsoft reciprocal licen,ms-rl|microsoft reciprocal licen[cs]e(?: \(ms-rl\))?|\bms-rl\b
+APSL-2.0|80|apple public source licen|apple public source licen[cs]e(?:,? (?:version |v\.? ?)2(?:\.0)?)?
+RPL-1.5|80|reciprocal public licen|reciprocal public licen[cs]e(?:,? (?:version |v\.? ?)?1\.5)?
+SPL-1.0|75|sun public licen|sun public licen[cs]e(?:,? (?:version |v)1\.0)?
+NPL-1.1|75|netscape public licen|netscape public licen[cs]e(?:,? (?:version |v)1\.[01])?
+Nokia|75|nokia open source licen|nokia open source licen[cs]e
+Intel|75|intel open source licen|intel open source licen[cs]e
 NASA-1.3|80|nasa open source agreement|nasa open source agreement(?:,? version 1\.3)?
-LPPL-1.3c|80|latex project public license|latex project public licen[cs]e(?:,? (?:version |v\.? ?)?1\.3c?)?
-SIL-OFL-1.1|85|sil open font license|sil open font licen[cs]e(?:,? (?:version |v\.? ?)1\.1)?
+LPPL-1.3c|80|latex project public licen|latex project public licen[cs]e(?:,? (?:version |v\.? ?)?1\.3c?)?
+SIL-OFL-1.1|85|sil open font licen|sil open font licen[cs]e(?:,? (?:version |v\.? ?)1\.1)?
 SIL-OFL-1.1|84|reserved font name|with reserved font names? 
 Ubuntu-font-1.0|80|ubuntu font licen|ubuntu font licen[cs]e(?: version 1\.0)?
 Bitstream-Vera|80|bitstream vera|bitstream vera(?: is a trademark| fonts? copyright)
@@ -214,7 +214,7 @@ CC-BY-ND|95|creativecommons.org/licenses|creativecommons\.org/licenses/by-nd/[1-
 CC-BY-SA|95|creativecommons.org/licenses|creativecommons\.org/licenses/by-sa/[1-4]\.[05]
 CC-BY|95|creativecommons.org/licenses|creativecommons\.org/licenses/by/[1-4]\.[05]
 CC|40|creative commons|creative commons(?: licen[cs]e)?
-ODbL-1.0|80|open database license,odbl|(?:open data commons )?open database licen[cs]e(?: \(odbl\))?(?: v?1\.0)?|\bodbl\b
+ODbL-1.0|80|open database licen,odbl|(?:open data commons )?open database licen[cs]e(?: \(odbl\))?(?: v?1\.0)?|\bodbl\b
 ODC-By-1.0|80|open data commons attribution|open data commons attribution licen[cs]e(?: v?1\.0)?
 OGL-UK-3.0|80|open government licen|open government licen[cs]e(?:,? (?:version |v)?3\.0)?
 CDLA-Permissive-2.0|80|community data license agreement|community data license agreement[ –-]+permissive(?:[, -]+(?:version )?[12]\.0)?
@@ -234,17 +234,17 @@ PolyForm-SB-1.0.0|80|polyform|polyform small business license(?: 1\.0\.0)?
 RAIL-M|80|rail-m,openrail|(?:bigscience |creativeml )?open ?rail(?:\+\+)?(?:-m)?(?: licen[cs]e)?
 LLAMA-Community|80|community license agreement|llama [0-9.]+ community license agreement
 JSON|90|not evil|the software shall be used for good, not evil
-Hippocratic-2.1|80|hippocratic license|hippocratic licen[cs]e(?:,? (?:version |v)?[23]\.[01])?
-MIT|80|mit license,mit licence|released under the mit licen[cs]e
-MIT|80|mit license,mit licence|(?:licensed|available|distributed) under (?:the )?(?:terms of the )?mit licen[cs]e
-MIT|60|mit license,mit licence,expat license|\b(?:mit|expat)(?:/x11)? licen[cs]e
+Hippocratic-2.1|80|hippocratic licen|hippocratic licen[cs]e(?:,? (?:version |v)?[23]\.[01])?
+MIT|80|mit licen,mit licence|released under the mit licen[cs]e
+MIT|80|mit licen,mit licence|(?:licensed|available|distributed) under (?:the )?(?:terms of the )?mit licen[cs]e
+MIT|60|mit licen,mit licence,expat licen|\b(?:mit|expat)(?:/x11)? licen[cs]e
 MIT|55|opensource.org/licenses/mit|opensource\.org/licenses/mit
-X11|60|x11 license|\bx11 licen[cs]e
-BSD-2-Clause|80|2-clause,two-clause,simplified bsd,freebsd license|(?:2-clause|two-clause|simplified|freebsd) (?:bsd )?licen[cs]e|(?:new |simplified )?bsd 2-clause(?: licen[cs]e)?
+X11|60|x11 licen|\bx11 licen[cs]e
+BSD-2-Clause|80|2-clause,two-clause,simplified bsd,freebsd licen|(?:2-clause|two-clause|simplified|freebsd) (?:bsd )?licen[cs]e|(?:new |simplified )?bsd 2-clause(?: licen[cs]e)?
 BSD-3-Clause|80|3-clause,three-clause,new bsd,modified bsd|(?:3-clause|three-clause|new|revised|modified) bsd licen[cs]e|bsd 3-clause(?: licen[cs]e)?
 BSD-4-Clause|80|4-clause,original bsd|(?:4-clause|four-clause|original) bsd licen[cs]e
-BSD|50|bsd license,bsd licence,bsd-style|\bbsd(?:-style| style)? licen[cs]e
-ISC|60|isc license,isc licence|\bisc licen[cs]e
+BSD|50|bsd licen,bsd licence,bsd-style|\bbsd(?:-style| style)? licen[cs]e
+ISC|60|isc licen,isc licence|\bisc licen[cs]e
 dual-license|65|dual-licensed,dual licensed|dual[- ]licensed under [^.\n]{3,120}
 proprietary|70|proprietary and confidential|proprietary and confidential
 proprietary|65|unauthorized copying|unauthorized copying of this (?:file|software)[^.\n]{0,80}strictly prohibited
@@ -255,8 +255,8 @@ public-domain|60|public domain|(?:released|placed|dedicated) (?:in)?to the publi
 public-domain|30|public domain|\bin the public domain\b
 free-use|40|free for non-commercial use,free for personal use|free for (?:non-?commercial|personal) use(?: only)?
 noncommercial-notice|35|not for commercial use,commercial use prohibited|not for commercial use|commercial use (?:is )?prohibited
-eula|50|end user license agreement,end-user license agreement|end[- ]user licen[cs]e agreement
-generic-license-file|20|license file,licence file|see (?:the )?licen[cs]e file (?:in|for|at)[^.\n]{0,60}
+eula|50|end user licen,end-user licen|end[- ]user licen[cs]e agreement
+generic-license-file|20|licen,licence file|see (?:the )?licen[cs]e file (?:in|for|at)[^.\n]{0,60}
 generic-licensed-under|10|licensed under|licensed under (?:the )?[^.\n]{3,80}
 generic-licensed-under|10|released under|released under (?:the )?[^.\n]{3,60}? licen[cs]e
 copyright-notice|12|copyright,©|(?:copyright|©)(?: \(c\)| ©)? [0-9]{4}(?:[-–, ]+[0-9]{4})*(?: by)? [^\n]{2,80}

@@ -75,3 +75,10 @@ def test_awkward_rows(spark):
     assert got == sorted([(None, "MIT License", 0), (20, "MIT License", len(cases.LONG)), (21, "MIT License", 0), (21, "MIT License", 0)], key=str)
     assert cases.same(S.scan_licenses(cases.crowded(docs)), S.scan_licenses(docs))
     assert S.scan_licenses(cases.empty(spark)).count() == 0
+
+
+def test_keywords_are_no_narrower_than_their_expressions():
+    for text in ("GPLv3 or later", "GPLv2 or later", "GPL v2+", "GPL version 3 or later", "GPL 3", "GPL3", "GPL-v3", "the zlib licence", "the MIT licence"):
+        rules = S.read_rules()
+        found = [(m.start(), m.end(), r.number) for r in rules for m in r.pattern.finditer(text) if m.end() > m.start()]
+        assert found and S.scan_text(text) == S.settle(found, rules), text
