@@ -8,8 +8,9 @@ average as similar to the node as the threshold, since splitting them would not
 pairs found more than once say that the target recall is reached (Christiani, Pagh & Sivertsen 2018).
 
 Sets that are equal are joined first and take part once. Signatures decide which pairs are candidates; each candidate is verified on
-the whole sets, so the result has no false pair. A node moves through a shuffle while it is large, and is split to the end
-inside one task once it is small enough for its memory.
+the whole sets, so the result has no false pair. Nodes are counted before they are gathered: a small one is split to the end
+inside one task; a large one is cut into blocks that separate tasks test, and what must be compared by brute force is
+compared in tiles of two blocks. So no node, however hot, meets in one task, and the rule is the same at every size.
 """
 
 from __future__ import annotations
@@ -28,12 +29,16 @@ from .words import mix, words
 
 #: Words in an n-gram, the similarity from which documents are near duplicates, and coordinates of a signature.
 N, THRESHOLD, T = 2, 0.65, 64
-#: Recall to reach, runs made at once, and batches of runs at most (a fourth batch adds under one pair in a thousand).
-RECALL, RUNS, BATCHES = 0.97, 6, 4
-#: Sets up to which a node is compared by brute force, and is split within one task (64 two-byte coordinates each: 25 MB).
-BRUTE, LOCAL = 200, 200_000
-#: Levels after which a node is compared by brute force whatever its size.
-DEPTH = 10
+#: Recall to reach and runs made at once. Batches of runs are added until the estimate holds.
+RECALL, RUNS = 0.97, 6
+#: Pairs this close to the threshold are the hardest to find: their recall is estimated on its own.
+MARGIN = 0.1
+#: Sets up to which a node is compared by brute force, and up to which it is split within one task or is one block of a larger node.
+BRUTE, LOCAL = 200, 20_000
+#: A set is compared with all of its node if its mean similarity to it is at least this part of the threshold.
+CLOSE = 0.9
+#: Rows of a checked broadcast (of nodes above LOCAL); beyond, they are joined by a shuffle.
+BROADCAST_NODES = 100_000
 
 
 def shingles(text: str, n: int = N) -> np.ndarray:
@@ -69,9 +74,23 @@ def signature(grams: np.ndarray, t: int = T) -> np.ndarray:
 
 
 def chosen(path: int, level: int, seed: int, t: int, threshold: float) -> np.ndarray:
-    """The coordinates that a node splits on, by hash of its path; the mean number is 1 / threshold."""
-    rng = mix(np.arange(t, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((path ^ seed * 0x2545F4914F6CDD1D ^ level) & (1 << 64) - 1))
-    return np.flatnonzero(rng < np.uint64(min(0.999999, 1 / (threshold * t)) * 0xFFFFFFFFFFFFFFFF))
+    """The coordinates that a node splits on, by hash of its path; the mean number is 1 / threshold. A root draws until it has one."""
+    attempt = 0
+    while True:
+        rng = mix(np.arange(t, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((path ^ seed * 0x2545F4914F6CDD1D ^ level ^ attempt << 20) & (1 << 64) - 1))
+        out = np.flatnonzero(rng < np.uint64(min(0.999999, 1 / (threshold * t)) * 0xFFFFFFFFFFFFFFFF))
+        if len(out) or level:
+            return out
+        attempt += 1
+
+
+def mean_match(sig: np.ndarray) -> np.ndarray:
+    """Of each set in a node: the share of coordinates that it has in common with another of its sets, on average."""
+    total = np.zeros(len(sig))
+    for j in range(sig.shape[1]):
+        _, at, n = np.unique(sig[:, j], return_inverse=True, return_counts=True)
+        total += n[at] - 1
+    return total / (sig.shape[1] * max(1, len(sig) - 1))
 
 
 def least_match(threshold: float, t: int) -> int:
@@ -86,14 +105,13 @@ class Splitter:
         self.threshold, self.t, self.seed, self.least = threshold, t, seed, least_match(threshold, t)
         self.pairs: list[np.ndarray] = []
 
-    def against(self, ids: np.ndarray, sig: np.ndarray, rows: np.ndarray) -> None:
-        """Compares the given rows with all of the node, a block at a time."""
-        step = max(1, (1 << 22) // max(1, len(ids) * self.t))
-        for k in range(0, len(rows), step):
-            block = rows[k : k + step]
-            same = (sig[block][:, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.int16)
-            a, b = np.nonzero(same >= self.least)
-            x, y = ids[block[a]], ids[b]
+    def compare(self, a: np.ndarray, a_sig: np.ndarray, b: np.ndarray, b_sig: np.ndarray) -> None:
+        """Compares each of the sets a with each of b, a block at a time."""
+        step = max(1, (1 << 22) // max(1, len(b) * self.t))
+        for k in range(0, len(a), step):
+            same = (a_sig[k : k + step, None, :] == b_sig[None, :, :]).sum(axis=2, dtype=np.int16)
+            i, j = np.nonzero(same >= self.least)
+            x, y = a[k + i], b[j]
             apart = x != y
             x, y = x[apart], y[apart]
             if len(x):
@@ -101,17 +119,13 @@ class Splitter:
 
     def node(self, ids: np.ndarray, sig: np.ndarray, path: int, level: int) -> None:
         while len(ids) > 1:
-            if len(ids) <= BRUTE or level >= DEPTH:
-                self.against(ids, sig, np.arange(len(ids)))
+            if len(ids) <= BRUTE:
+                self.compare(ids, sig, ids, sig)
                 return
-            mean = np.zeros(len(ids))
-            for j in range(self.t):
-                _, at, n = np.unique(sig[:, j], return_inverse=True, return_counts=True)
-                mean += n[at] - 1
-            close = mean / (self.t * (len(ids) - 1)) >= 0.9 * self.threshold
+            close = mean_match(sig) >= CLOSE * self.threshold
             if not close.any():
                 break
-            self.against(ids, sig, np.flatnonzero(close))
+            self.compare(ids[close], sig[close], ids, sig)
             ids, sig = ids[~close], sig[~close]
         if len(ids) < 2:
             return
@@ -146,25 +160,31 @@ def set_hash(grams: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, n: int, t: int | None, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, sid (hash of the set) and sig of t coordinates, or with t None the set itself. Texts without words and rows without id are left out."""
+    """doc_id, sid (hash of the set) and sig of t coordinates, or with t None the set itself. Rows without words, text or id have no sid."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sids, out = [], [], []
+            sids, out = [], []
             for number, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                g = shingles(text.as_py(), n)
-                if len(g):
-                    ids.append(number)
-                    sids.append(set_hash(g))
-                    # Half a hash tells the grams of two sets apart well enough to count them.
-                    out.append((np.unique((g >> np.uint64(32)).astype(np.uint32)) if t is None else signature(g, t)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sids, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "sid", name])
+                g = shingles(text.as_py(), n) if number is not None and text.is_valid else ()
+                if not len(g):
+                    sids.append(None)
+                    out.append(None)
+                    continue
+                sids.append(set_hash(g))
+                # Half a hash tells the grams of two sets apart well enough to count them.
+                out.append((np.unique((g >> np.uint64(32)).astype(np.uint32)) if t is None else signature(g, t)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sids, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "sid", name])
 
     name = "grams" if t is None else "sig"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropna()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(build, f"doc_id long, sid long, {name} binary")
 
 
+def _signatures(column: pa.Array, t: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, t)
+
+
 def _roots(runs: range, threshold: float, t: int):
     """A map from sets to the children of every run's root."""
 
@@ -172,7 +192,7 @@ def _roots(runs: range, threshold: float, t: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, t)
+            sig = _signatures(batch.column(1), t)
             for run in runs:
                 root = np.full(len(sig), run + 1, dtype=np.uint64)
                 for j in chosen(run + 1, 0, run + 1, t, threshold).tolist():
@@ -184,78 +204,172 @@ def _roots(runs: range, threshold: float, t: int):
     return grow
 
 
+def _root_sizes(runs: range, threshold: float, t: int):
+    """A map from sets to (run, path, n): how many of a task's sets are in each child of every run's root."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {run: [] for run in runs}
+        rows = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for run, parts in held.items():
+                paths, n = np.unique(np.concatenate([*parts, np.zeros(0, dtype=np.uint64)]), return_counts=True)
+                parts.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), run, dtype=np.int32)), pa.array(paths.view(np.int64)), pa.array(n.astype(np.int64))], names=["run", "path", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = _signatures(batch.column(0), t)
+            for run in runs:
+                root = np.full(len(sig), run + 1, dtype=np.uint64)
+                held[run] += [children(root, j, sig[:, j]) for j in chosen(run + 1, 0, run + 1, t, threshold).tolist()]
+            rows += len(sig)
+            if rows > 200_000:  # a flush of the combiner: counts are summed later all the same
+                yield from flush()
+                rows = 0
+        yield from flush()
+
+    return count
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], list[pa.RecordBatch]]]:
+    """Of rows sorted by their first columns (whole numbers): each value of these, and its rows."""
+    now, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(keys)]
+        change = np.zeros(batch.num_rows - 1, dtype=bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        bounds = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for s, e in zip(bounds, bounds[1:], strict=False):
+            key = tuple(int(c[s]) for c in columns)
+            if key != now:
+                if parts:
+                    yield now, parts
+                now, parts = key, []
+            parts.append(batch.slice(s, e - s))
+    if parts:
+        yield now, parts
+
+
+def _found(run: int, splitter: Splitter) -> pa.RecordBatch:
+    p = splitter.take()
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(p), run, dtype=np.int32)), pa.array(p[:, 0]), pa.array(p[:, 1])], names=["run", "a", "b"])
+
+
 def _split(threshold: float, t: int):
-    """A map over nodes (rows sorted by run and path): candidate pairs, and of nodes too large for the task the rows of their children."""
+    """A map over nodes (run, path, level, sid, sig; sorted by the first three) of at most LOCAL sets: candidate pairs (run, a, b)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitters: dict[int, Splitter] = {}
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        now, size, large = None, 0, False
-        schema = pa.schema([("run", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("path", pa.int64()), ("level", pa.int32()), ("sig", pa.binary())])
-
-        def deeper() -> Iterator[pa.RecordBatch]:
-            run, path, level = now
-            for j in chosen(path & (1 << 64) - 1, level, run + 1, t, threshold).tolist():
-                for ids, sig in parts:
-                    paths = children(np.full(len(ids), path & (1 << 64) - 1, dtype=np.uint64), j, sig[:, j]).view(np.int64)
-                    none = pa.nulls(len(ids), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), run, dtype=np.int32)), pa.array(ids), none, pa.array(paths), pa.array(np.full(len(ids), level + 1, dtype=np.int32)), pa.array([s.tobytes() for s in sig], pa.binary())], schema=schema)
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if now is None or not parts:
-                return
-            if large:
-                yield from deeper()
-            elif size > 1:
-                run, path, level = now
-                splitters.setdefault(run, Splitter(threshold, t, run + 1)).node(np.concatenate([i for i, _ in parts]), np.concatenate([s for _, s in parts]), path & (1 << 64) - 1, level)
+        for (run, path, level), parts in _groups(batches, 3):
+            if sum(p.num_rows for p in parts) < 2:
+                continue
+            splitter = splitters.setdefault(run, Splitter(threshold, t, run + 1))
+            ids, sig = (np.concatenate(x) for x in zip(*((p.column(3).to_numpy(), _signatures(p.column(4), t)) for p in parts), strict=True))
+            splitter.node(ids, sig, path & (1 << 64) - 1, level)
+            if sum(map(len, splitter.pairs)) > 500_000:
+                yield _found(run, splitter)
+        for run, splitter in splitters.items():
+            yield _found(run, splitter)
+
+    return work
+
+
+_BLOCK = "run int, path long, level int, block int, blocks int, sid long, sig binary"
+
+
+def _test_blocks(threshold: float, t: int):
+    """A map over blocks of large nodes (rows of _BLOCK, sorted by the first four columns): the same rows with close.
 
-        def found(run: int, splitter: Splitter) -> pa.RecordBatch:
-            p = splitter.take()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(p), run, dtype=np.int32)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.int32()), pa.nulls(len(p), pa.binary())], schema=schema)
+    A block is a random part of its node, of LOCAL / 2 sets at least: the mean similarity to it stands for that to the node.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _groups(batches, 4):
+            rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            close = mean_match(_signatures(rows.column(6), t)) >= CLOSE * threshold
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(close)], names=[*rows.schema.names, "close"])
+
+    return work
+
+
+def _deeper(threshold: float, t: int):
+    """A map over rows of large nodes (run, path, level, sid, sig; sorted by the first three) to those of their children."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            path, run, level, ids = (batch.column(k).to_numpy() for k in range(4))
-            sig = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint16).reshape(-1, t)
-            cuts = np.flatnonzero((np.diff(path) != 0) | (np.diff(run) != 0)) + 1
-            bounds = [0, *cuts.tolist(), len(path)]
-            for s, e in zip(bounds, bounds[1:], strict=False):
-                key = (int(run[s]), int(path[s]), int(level[s]))
-                if key != now:
-                    yield from close()
-                    now, parts, size, large = key, [], 0, False
-                parts.append((ids[s:e], sig[s:e]))
-                size += e - s
-                if size > LOCAL and key[2] < DEPTH:  # passed on as it comes; nothing of it is held
-                    large = True
-                    yield from deeper()
-                    parts = []
-            for r, splitter in splitters.items():
+            for (run, path, level), parts in _groups(iter([batch]), 3):
+                above = path & (1 << 64) - 1
+                for rows in parts:
+                    sig = _signatures(rows.column(4), t)
+                    for j in chosen(above, level, run + 1, t, threshold).tolist():
+                        paths = children(np.full(len(sig), above, dtype=np.uint64), j, sig[:, j]).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(paths), rows.column(0), pa.array(np.full(len(sig), level + 1, dtype=np.int32)), rows.column(3), rows.column(4)], names=["path", "run", "level", "sid", "sig"])
+
+    return work
+
+
+def _compare_tiles(threshold: float, t: int):
+    """A map over tiles (run, path, i, j, side, sid, sig; sorted by the first five): candidate pairs of a set of side 0 and one of side 1."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (run, _, _, _), parts in _groups(batches, 4):
+            side, ids, sig = (np.concatenate(x) for x in zip(*((p.column(4).to_numpy(), p.column(5).to_numpy(), _signatures(p.column(6), t)) for p in parts), strict=True))
+            splitter = Splitter(threshold, t, run + 1)
+            mine, other = side == 0, side == 1
+            a, a_sig, b, b_sig = ids[mine], sig[mine], ids[other], sig[other]
+            for k in range(0, len(a), 1000):
+                splitter.compare(a[k : k + 1000], a_sig[k : k + 1000], b, b_sig)
                 if sum(map(len, splitter.pairs)) > 500_000:
-                    yield found(r, splitter)
-        yield from close()
-        for r, splitter in splitters.items():
-            yield found(r, splitter)
+                    yield _found(run, splitter)
+            yield _found(run, splitter)
 
     return work
 
 
-_FOUND = "run int, a long, b long, path long, level int, sig binary"
+def _split_large(rows: DataFrame, threshold: float, t: int) -> tuple[DataFrame, DataFrame]:
+    """The candidate pairs of nodes above LOCAL (rows with n, the size of their node) that brute force gives, and the rows of their children."""
+    blocks = F.ceil(F.col("n") / LOCAL).cast("int")
+    cut = rows.select("run", "path", "level", F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("block"), blocks.alias("blocks"), "sid", "sig")
+    placed = cut.repartition("run", "path", "block").sortWithinPartitions("run", "path", "level", "block")
+    tested = durable(placed.mapInArrow(_test_blocks(threshold, t), _BLOCK + ", close boolean"))
+    below = tested.where("NOT close").select("run", "path", "level", "sid", "sig").mapInArrow(_deeper(threshold, t), _NODE)
+    hot = tested.where("close").groupBy("run", "path", "block").agg(F.count(F.lit(1)).alias("rows"))
+    # The close sets of block i meet all sets of block j in tile (i, j); where j comes before i, those that are close there have met them in (j, i).
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    mine = tested.where("close").select("run", "path", F.col("block").alias("i"), every.alias("j"), F.lit(0).alias("side"), "sid", "sig")
+    other = tested.join(hot.select("run", "path", F.col("block").alias("i")), ["run", "path"]).where("i <= block OR NOT close").select("run", "path", "i", F.col("block").alias("j"), F.lit(1).alias("side"), "sid", "sig")
+    tiles = mine.unionByName(other).repartition("run", "path", "i", "j").sortWithinPartitions("run", "path", "i", "j", "side")
+    return tiles.mapInArrow(_compare_tiles(threshold, t), _FOUND), below
+
+
+_FOUND = "run int, a long, b long"
 
 
 def _candidates(sets: DataFrame, runs: range, threshold: float, t: int) -> DataFrame:
-    """a, b, runs (a bit for each run that found the pair)."""
+    """a, b, runs (how many of these runs found the pair)."""
     rows = sets.select("sid", "sig").mapInArrow(_roots(runs, threshold, t), _NODE)
+    sizes = sets.select("sig").mapInArrow(_root_sizes(runs, threshold, t), "run int, path long, n long")
     found = None
     while True:
-        done = durable(rows.repartition("run", "path").sortWithinPartitions("run", "path").mapInArrow(_split(threshold, t), _FOUND))
-        pairs = done.where(F.col("b").isNotNull()).select("a", "b", "run")
+        large = durable(sizes.groupBy("run", "path").agg(F.sum("n").alias("n")).where(F.col("n") > LOCAL))
+        count, small = large.count(), rows
+        if count:
+            marked = rows.join(F.broadcast(large) if count <= BROADCAST_NODES else large, ["run", "path"], "left")
+            small = marked.where("n IS NULL")
+        nodes = small.select("run", "path", "level", "sid", "sig").repartition("run", "path").sortWithinPartitions("run", "path", "level")
+        pairs = durable(nodes.mapInArrow(_split(threshold, t), _FOUND))
         found = pairs if found is None else found.unionByName(pairs)
-        rows = done.where(F.col("b").isNull()).select("path", "run", "level", F.col("a").alias("sid"), "sig")
-        if rows.isEmpty():
-            return found.groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1L, run)")).alias("runs"))
+        if not count:
+            return found.groupBy("a", "b").agg(F.count_distinct("run").alias("runs"))
+        tiled, below = _split_large(marked.where("n IS NOT NULL"), threshold, t)
+        found = found.unionByName(durable(tiled))
+        rows = durable(below)
+        sizes = rows.select("run", "path", F.lit(1).cast("long").alias("n"))
 
 
 #: Pairs that are verified in one go, on average; a larger cluster is verified in several.
@@ -331,10 +445,10 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: flo
     placed = durable(placed.join(tiles, "block").select("block", F.pmod(F.xxhash64("a"), F.col("tiles")).cast("int").alias("tile"), "a", "b", "runs"))
     needs = placed.select("block", "tile", F.col("a").alias("sid")).union(placed.select("block", "tile", "b")).distinct()
     # One document of each needed set brings its text; texts of other documents stay where they are or fall out at the join.
-    source = sets.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(needs.select("sid").distinct(), "sid", "left_semi")
+    source = sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(needs.select("sid").distinct(), "sid", "left_semi")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropna()
     texts = rows.join(source.select("doc_id").distinct(), "doc_id", "left_semi")
-    grams = _sets(texts, n, None, "doc_id", "text").select("sid", "grams").dropDuplicates(["sid"])
+    grams = _sets(texts, n, None, "doc_id", "text").where("sid IS NOT NULL").select("sid", "grams").dropDuplicates(["sid"])
     sent = needs.join(grams, "sid").select("block", "tile", F.lit(0).alias("kind"), F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("runs"), "grams")
     asked = placed.select("block", "tile", F.lit(1).alias("kind"), "a", "b", "runs", F.lit(None).cast("binary").alias("grams"))
     both = sent.unionByName(asked).repartition("block", "tile").sortWithinPartitions("block", "tile", "kind")
@@ -350,33 +464,36 @@ def estimated_recall(once: int, twice: int, found: int) -> float:
 def _join(docs: DataFrame, n: int, threshold: float, recall: float, t: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The sets (doc_id, sid, sig) and the pairs of sets (a, b, jaccard)."""
     sets = durable(_sets(docs, n, t, id_col, text_col))
-    distinct = sets.groupBy("sid").agg(F.min("sig").alias("sig"))
-    found = None
-    for batch in range(BATCHES):
-        pairs = durable(_candidates(distinct, range(batch * RUNS, (batch + 1) * RUNS), threshold, t))
+    distinct = durable(sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min("sig").alias("sig")))
+    found, first = None, 0
+    while True:
+        pairs = durable(_candidates(distinct, range(first, first + RUNS), threshold, t))
+        first += RUNS
         if found is None:
             found = durable(_verified(docs, sets, pairs, threshold, n, id_col, text_col))
         else:
-            known = found.join(pairs.withColumnRenamed("runs", "more"), ["a", "b"], "left").select("a", "b", "jaccard", F.col("runs").bitwiseOR(F.coalesce("more", F.lit(0).cast("long"))).alias("runs"))
+            known = found.join(pairs.withColumnRenamed("runs", "more"), ["a", "b"], "left").select("a", "b", "jaccard", (F.col("runs") + F.coalesce("more", F.lit(0).cast("long"))).alias("runs"))
             fresh = durable(pairs.join(found, ["a", "b"], "left_anti"))
             found = durable(known.unionByName(_verified(docs, sets, fresh, threshold, n, id_col, text_col)))
-        seen = found.agg(F.count_if(F.bit_count("runs") == 1), F.count_if(F.bit_count("runs") == 2), F.count(F.lit(1))).first()
-        if estimated_recall(*seen) >= recall:
-            break
-    return sets, found.select("a", "b", "jaccard")
+        # One cluster of easy pairs must not hide that those at the threshold are still short: both parts have to reach the recall.
+        edge = F.col("jaccard") < threshold + MARGIN
+        seen = found.agg(*[F.count_if(part & runs) for part in (edge, ~edge) for runs in (F.col("runs") == 1, F.col("runs") == 2, F.lit(True))]).first()
+        if min(estimated_recall(*seen[:3]), estimated_recall(*seen[3:])) >= recall:
+            return sets, found.select("a", "b", "jaccard")
 
 
 def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, t: int = T, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id_a, doc_id_b, jaccard, ids_a, ids_b: every row says that any document of ids_a and any other of ids_b are near duplicates.
 
-    Documents with equal sets stand in one list (ids_a = ids_b for a row of equal sets, jaccard 1), so that copies are not
-    multiplied out; doc_id_a and doc_id_b are a pair of the row. Words are runs of letters and digits in any case.
+    For those who need the pairs themselves: a cluster of near copies has as many rows as pairs of different sets. Documents with equal sets
+    stand in one list (ids_a = ids_b for a row of equal sets, jaccard 1), so that copies are not multiplied out; doc_id_a and doc_id_b are
+    a pair of the row. near_classes has a row per document instead. Words are runs of letters and digits in any case; whole texts count, however long.
     Defined cases: rows with a NULL id or text, and texts without words, are near to nothing; repeated rows are one document; an id
     with several texts stands for each of them, and may be paired with itself; a similarity equal to the threshold counts; other columns
     are ignored; no rows give no rows. Sets with equal 64-bit hashes are taken for equal.
     """
     sets, pairs = _join(docs, n, threshold, recall, t, id_col, text_col)
-    groups = sets.groupBy("sid").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
+    groups = sets.where("sid IS NOT NULL").groupBy("sid").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
     same = groups.where(F.size("ids") > 1).select(F.element_at("ids", 1).alias("doc_id_a"), F.element_at("ids", 2).alias("doc_id_b"), F.lit(1.0).alias("jaccard"), F.col("ids").alias("ids_a"), F.col("ids").alias("ids_b"))
     a, b = groups.select(F.col("sid").alias("a"), F.col("ids").alias("ids_a")), groups.select(F.col("sid").alias("b"), F.col("ids").alias("ids_b"))
     near = pairs.join(a, "a").join(b, "b")
@@ -385,6 +502,28 @@ def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     return near.select(F.element_at(first, 1).alias("doc_id_a"), F.element_at(second, 1).alias("doc_id_b"), "jaccard", first.alias("ids_a"), second.alias("ids_b")).unionByName(same)
 
 
+def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, t: int = T, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id, n_links: one row per document, with its class and how many other documents are near to it.
+
+    A class is a connected component of the pairs of near_pairs, and class_id the least id in it; a document that is near to none is its own
+    class with no links. n_links counts documents of any class member whose similarity is at least the threshold, copies each for itself.
+    Defined cases: a NULL id has a NULL class and no links; a NULL text, or one without words, is near to nothing, copies of it too; repeated rows
+    (one id, one set of n-grams) are one row; an id with several texts has a row for each, which may be linked with each other; a similarity equal to the
+    threshold counts; very long texts count whole; other columns are ignored, whatever their names; no rows give no rows.
+    """
+    sets, pairs = _join(docs, n, threshold, recall, t, id_col, text_col)
+    members = durable(sets.where("sid IS NOT NULL").groupBy("sid", "doc_id").agg(F.lit(1).alias("one")).select("sid", "doc_id"))
+    classes = durable(members.groupBy("sid").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("least")))
+    # Links of a set: the other members of its own class of equal sets, and all members of the sets near to it.
+    ends = pairs.select(F.col("a").alias("sid"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    beyond = ends.join(classes.select(F.col("sid").alias("other"), "size"), "other").groupBy("sid").agg(F.sum("size").alias("beyond"))
+    labelled = classes.join(components(pairs).withColumnRenamed("x", "sid"), "sid", "left").select("sid", "size", "least", F.coalesce("label", "sid").alias("label"))
+    heads = labelled.groupBy("label").agg(F.min("least").alias("class_id"))
+    by_set = labelled.join(heads, "label").join(beyond, "sid", "left").select("sid", "class_id", (F.col("size") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"))
+    bare = sets.where("sid IS NULL").select("doc_id").distinct().select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return members.join(by_set, "sid").select("doc_id", "class_id", "n_links").unionByName(bare)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """x, label: for every end of the edges (a, b) the least node of its connected component."""
     both = durable(edges.select("a", "b").union(edges.select("b", "a")).toDF("x", "y"))
@@ -408,9 +547,12 @@ BROADCAST_IDS = 500_000
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, t: int = T, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row, that of the least id, of each group of near duplicates (pairs of near_pairs, taken transitively).
 
-    Rows with a NULL id or a text without words stay. Of repeated rows one stays. An id with several texts is treated text by text.
+    Defined cases: rows with a NULL id, a NULL text or one without words stay, also repeated ones; of other repeated rows one stays; among
+    texts of one least id, the one with the least hash of its set stays (an id with several texts is treated text by text); very long texts count
+    whole; all columns are returned as they are, whatever their names; no rows give no rows.
     """
     sets, pairs = _join(docs, n, threshold, recall, t, id_col, text_col)
+    sets = sets.where("sid IS NOT NULL")
     labels = components(pairs)
     grouped = sets.select("doc_id", "sid").join(labels, F.col("sid") == F.col("x"), "left").select("doc_id", "sid", F.coalesce("label", "sid").alias("label"))
     winners = grouped.groupBy("label").agg(F.min(F.struct("doc_id", "sid")).alias("w"), F.count(F.lit(1)).alias("rows")).where("rows > 1")

@@ -49,7 +49,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_pairs(_table(spark, sf_dir, "documents"))
+    return jaccard_join.near_classes(_table(spark, sf_dir, "documents"))
 
 
 def op9_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:

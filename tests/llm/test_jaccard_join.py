@@ -85,31 +85,75 @@ def test_splitting_in_memory_keeps_the_recall(small_nodes):
     assert len(found & want) >= 0.9 * len(want)
 
 
-def test_large_nodes_pass_through_the_shuffle(spark, monkeypatch):
-    import pyarrow as pa
+def test_a_tight_node_is_compared_in_one_task(spark):
+    """Sets that splitting would not part end in brute force, at any level."""
+    texts = variants(5, 300, 0.02)
+    sig = np.array([J.signature(J.shingles(t)) for t in texts])
+    splitter = J.Splitter(J.THRESHOLD, J.T, 1)
+    splitter.node(np.arange(300), sig, 7, 40)
+    assert {tuple(p) for p in splitter.take().tolist()} >= brute(list(enumerate(texts)))
+
 
+@pytest.mark.parametrize("broadcast", [J.BROADCAST_NODES, 0])
+def test_large_nodes_are_split_by_blocks_and_tiles(spark, monkeypatch, broadcast):
+    """With blocks of 20 sets nearly all goes the way of large nodes; it finds what brute force finds."""
     monkeypatch.setattr(J, "LOCAL", 20)
     monkeypatch.setattr(J, "BRUTE", 8)
-    texts = variants(5, 60, 0.02)
-    sig = [J.signature(J.shingles(t)).tobytes() for t in texts]
-    rows = pa.RecordBatch.from_arrays([pa.array([7] * 60), pa.array([0] * 60, pa.int32()), pa.array([1] * 60, pa.int32()), pa.array(range(60)), pa.array(sig)], names=["path", "run", "level", "sid", "sig"])
-    # A node above LOCAL gives rows of its children and no pair; a child's rows all stand under one path.
-    # One that chooses no coordinate (about one in five) ends there.
-    grown = 0
-    for path in range(40):
-        batches = list(J._split(J.THRESHOLD, J.T)(iter([rows.set_column(0, "path", pa.array([path] * 60))])))
-        assert bool(batches) == bool(len(J.chosen(path, 1, 1, J.T, J.THRESHOLD)))
-        if not batches:
-            continue
-        grown += 1
-        out = pa.Table.from_batches(batches)
-        assert set(out["b"].to_pylist()) <= {None}
-        for p, level, a in zip(out["path"].to_pylist(), out["level"].to_pylist(), out["a"].to_pylist()):
-            assert p is not None and level == 2 and 0 <= a < 60
-    assert grown > 20
-    deepest = rows.set_column(2, "level", pa.array([J.DEPTH] * 60, pa.int32()))
-    out = pa.Table.from_batches(list(J._split(J.THRESHOLD, J.T)(iter([deepest]))))
-    assert len([b for b in out["b"].to_pylist() if b is not None]) > 1000
+    monkeypatch.setattr(J, "BROADCAST_NODES", broadcast)
+    rows = list(enumerate([*variants(1, 150, 0.02), *(t for k in range(40) for t in variants(100 + k, 3, 0.02)), *(f"the same start of all texts then {t}" for t in variants(7, 60, 0.9, 12))]))
+    docs = cases.documents(spark, rows)
+    want, got = brute(rows), pairs(J.near_pairs(docs))
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 10_000
+    assert classes(J.near_classes(docs)) == brute_classes(rows)
+
+
+def test_every_root_has_coordinates():
+    assert all(len(J.chosen(run + 1, 0, run + 1, J.T, J.THRESHOLD)) for run in range(200))
+
+
+def test_root_sizes_count_the_roots(spark):
+    sets = J._sets(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), J.N, J.T, "doc_id", "text").where("sid IS NOT NULL")
+    rows = sets.select("sid", "sig").mapInArrow(J._roots(range(3), J.THRESHOLD, J.T), J._NODE)
+    want = {(r.run, r.path): r["count"] for r in rows.groupBy("run", "path").count().collect()}
+    got = sets.select("sig").mapInArrow(J._root_sizes(range(3), J.THRESHOLD, J.T), "run int, path long, n long").groupBy("run", "path").agg({"n": "sum"}).collect()
+    assert {(r.run, r.path): r["sum(n)"] for r in got} == want and want
+
+
+def classes(df):
+    return sorted((r.doc_id, r.class_id, r.n_links) for r in df.collect())
+
+
+def brute_classes(rows, threshold=J.THRESHOLD):
+    """(doc_id, class_id, n_links) of documents with one text each, by plain sets."""
+    found = brute(rows, threshold)
+    label, links = groups(found), {}
+    for a, b in found:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    return sorted((k, label.get(k, k), links.get(k, 0)) for k, _ in rows)
+
+
+def test_classes_of_the_table_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got, want = classes(J.near_classes(docs)), brute_classes(rows)
+    assert [g[0] for g in got] == [w[0] for w in want] and sum(g == w for g, w in zip(got, want)) >= 0.99 * len(want)
+    # Every link is counted at both of its ends, copies each for themselves.
+    assert 0.97 * sum(w[2] for w in want) <= sum(g[2] for g in got) <= sum(w[2] for w in want)
+
+
+def test_classes_of_awkward_rows(spark):
+    docs = cases.awkward(spark).unionByName(cases.documents(spark, [(50, ""), (50, ""), (51, "tie one two three four"), (None, None)]))
+    got = [(r.doc_id, r.class_id, r.n_links) for r in J.near_classes(docs).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, 1, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (None, None, 0), (4, 4, 2), (5, 4, 2), (51, 4, 2), (6, 6, 0), (7, 7, 0), (8, 8, 0), (9, 9, 0), (50, 50, 0)]))
+    assert cases.same(J.near_classes(cases.crowded(docs)), J.near_classes(docs))
+    assert J.near_classes(cases.empty(spark)).count() == 0
+
+
+def test_long_texts_count_whole(spark):
+    """Two texts that differ only far behind are near; two that agree only at their start are not."""
+    start, a, b = variants(1, 1, 0, 3000)[0], variants(2, 1, 0, 60_000)[0], variants(3, 1, 0, 60_000)[0]
+    docs = cases.documents(spark, [(1, f"{start} {a}"), (2, f"{start} {b}"), (3, f"{start} {a} and a little more")])
+    assert classes(J.near_classes(docs)) == [(1, 1, 1), (2, 2, 0), (3, 1, 1)]
 
 
 def test_groups_of_copies_and_near_copies(spark):
