@@ -59,12 +59,14 @@ def printable(path: Column) -> Column:
 def fence_for(content: Column) -> Column:
     """A fence longer than any run of backticks in content: four at least."""
     runs = F.transform(F.regexp_extract_all(content, F.lit("(`+)"), F.lit(1)), lambda x: F.length(x))
-    return F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(3))) + 1)
+    longest = F.when(content.contains("`"), F.greatest(F.lit(3), F.array_max(runs))).otherwise(F.lit(3))
+    return F.repeat(F.lit("`"), longest + 1)
 
 
 def trim_end(content: Column) -> Column:
-    """content without spaces, tabs and line ends at its end (the possessive run is tried once at each place)."""
-    return F.regexp_replace(content, "(?<![ \\t\\r\\n])[ \\t\\r\\n]++\\z", "")
+    """content without spaces, tabs and line ends at its end."""
+    blank = content.endswith(" ") | content.endswith("\n") | content.endswith("\r") | content.endswith("\t")
+    return F.when(blank, F.rtrim(content, F.lit(" \t\r\n"))).otherwise(content)
 
 
 _UNITS = {"B": 1, "KB": 1 << 10, "MB": 1 << 20, "GB": 1 << 30}
@@ -155,6 +157,13 @@ def parse_shard(text: str) -> tuple[int, int]:
     return int(m[1]), int(m[2])
 
 
+def shard_of(text: Column) -> Column:
+    """parse_shard of a column, as a struct (slice, shards); NULL where there is none."""
+    form = "^\\s*([0-9]+)\\s*[/.]\\s*([0-9]+)\\s*$"
+    slice_, shards = (F.regexp_extract(text, form, k).try_cast("int") for k in (1, 2))
+    return F.when(slice_.between(1, shards), F.struct(slice_.alias("slice"), shards.alias("shards")))
+
+
 def normalise_extensions(values: list[str] | tuple[str, ...]) -> tuple[str, ...]:
     """['.CS, py'] as ('cs', 'py')."""
     return tuple(dict.fromkeys(e.strip().lstrip(".").lower() for v in values for e in v.split(",") if e.strip().lstrip(".")))

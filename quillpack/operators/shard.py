@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +17,8 @@ def assign_shards(rows: DataFrame, shards: int) -> DataFrame:
 
     A module (first folder; with repo, within its repository) is placed as a whole if it has one file or at most 1.5 times the mean shard's bytes, else
     file by file. Units go by module size, then file size, descending, each to the shard with the fewest bytes, the first among equals.
-    Only units (modules, or files of those that are split) pass through the one sequential fold; files get their shard back by a join.
+    Only units (modules, or files of those that are split) pass through the one sequential fold: a stream through one task that holds
+    the shards' loads and no unit. Files get their shard back by a join.
     """
     shards = max(1, shards)
     both = rows.where(F.col("kind") == "file") if "kind" in rows.columns else rows
@@ -26,16 +31,19 @@ def assign_shards(rows: DataFrame, shards: int) -> DataFrame:
     order = Window.partitionBy("__module").orderBy(F.col("size").desc(), "ord", "relative")
     single = files.select("__module", "name", "bytes", F.row_number().over(order).cast("long").alias("pos"), "ord", "relative", F.col("size").alias("unit"))
     units = whole.unionByName(single)
-    queue = units.agg(F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("a"), F.col("name").alias("b"), F.col("__module").alias("c"), F.col("pos").alias("d"), F.col("ord").alias("e"), F.col("relative").alias("f"), F.col("unit").alias("g")))).alias("q"))
-    loads = F.array_repeat(F.lit(0).cast("long"), shards)
-    start = F.struct(loads.alias("loads"), F.expr("cast(array() as array<int>)").alias("picks"))
-
-    def place(state, u):
-        at = F.array_position(state["loads"], F.array_min(state["loads"])).cast("int")
-        return F.struct(F.transform(state["loads"], lambda x, i: F.when(i + 1 == at, x + u["g"]).otherwise(x)).alias("loads"), F.concat(state["picks"], F.array(at)).alias("picks"))
-
-    placed = queue.select("q", F.aggregate("q", start, place)["picks"].alias("picks")).select(F.explode(F.arrays_zip("q", "picks")).alias("z"))
-    placed = placed.select(F.col("z.q.c").alias("__module"), F.col("z.q.d").alias("pos"), F.col("z.q.e").alias("ord"), F.col("z.q.f").alias("relative"), F.col("z.picks").alias("shard_id"))
+    queue = units.select("__module", "pos", "ord", "relative", "unit", "bytes", "name").repartition(1).sortWithinPartitions(F.col("bytes").desc(), "name", "__module", "pos", "ord", "relative")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loads = [(0, k) for k in range(1, shards + 1)]
+        for batch in batches:
+            picks = []
+            for unit in batch.column(4).to_pylist():
+                load, k = loads[0]
+                heapq.heapreplace(loads, (load + (unit or 0), k))
+                picks.append(k)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(picks, pa.int32())], names=["__module", "pos", "ord", "relative", "shard_id"])
+
+    placed = queue.mapInArrow(place, "__module string, pos long, ord long, relative string, shard_id int")
     # A unit is a module (pos 0) or one file of it; a file takes the shard of whichever it belongs to.
     as_whole = keyed.join(placed.where("pos = 0").select("__module", "shard_id"), "__module")
     as_file = keyed.join(placed.where("pos > 0").select("__module", "ord", "relative", "shard_id"), ["__module", "ord", "relative"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 import shlex
 import sys
@@ -14,6 +15,7 @@ from ..functions.text import normalise_extensions, parse_shard
 from ..model import PRESETS
 
 VERSION = "0.1"
+log = logging.getLogger("quillpack")
 #: Spellings, the name they set, and what follows: 'flag', 'one' value, 'maybe' a number, or 'many' values.
 OPTIONS = (
     (("-p", "--paths", "-g", "grab"), "paths", "many"), (("-e", "--extension", "--extensions", "-t", "type"), "extensions", "many"), (("-x", "--exclude", "--excludes", "-y", "yeet"), "exclude", "many"),
@@ -24,7 +26,7 @@ OPTIONS = (
     (("-b", "--brain", "brain"), "brain", "flag"), (("-c", "--compress", "compress"), "compress", "flag"), (("--cluster", "horde"), "cluster", "flag"), (("--cluster-dir",), "cluster_dir", "one"),
     (("--cluster-depth",), "cluster_depth", "one"), (("--shard",), "shard", "one"), (("--dry-run", "--list"), "dry_run", "flag"), (("--count", "--tokens-only"), "count", "flag"),
     (("--max-memory",), "max_output", "one"), (("--stats", "--profile-timing"), "stats", "flag"), (("--json-stats", "--profile-json"), "json_stats", "one"), (("--history",), "history", "maybe"), (("--init-config",), "init_config", "flag"),
-    (("--validate-config",), "validate_config", "flag"), (("--dump-config",), "dump_config", "flag"), (("--export-schema",), "export_schema", "flag"), (("-v", "--verbose"), "verbose", "flag"), (("--debug",), "debug", "flag"),
+    (("--validate-config",), "validate_config", "flag"), (("--dump-config",), "dump_config", "flag"), (("--export-schema",), "export_schema", "flag"), (("-v", "--verbose"), "verbose", "flag"), (("--debug",), "debug", "flag"), (("--self-test", "--test"), "self_test", "flag"), (("--benchmark",), "benchmark", "flag"),
     (("--compressor",), "compressor", "one"), (("--no-cache",), "no_cache", "flag"), (("--profile",), "profile", "one"), (("--save-profile",), "save_profile", "one"), (("--list-profiles",), "list_profiles", "flag"),
     (("--save",), "save", "flag"), (("--version",), "version", "flag"), (("-h", "--help"), "help", "flag"),
 )
@@ -157,6 +159,16 @@ def _settings_command(args: Arguments, settings) -> str | None:
     return None
 
 
+def set_log_level(args: Arguments) -> None:
+    """Messages on standard error: warnings, with --verbose what is done, with --debug all."""
+    if not log.handlers:
+        handler = logging.StreamHandler()
+        handler.setFormatter(logging.Formatter("[%(levelname)s] %(message)s"))
+        log.addHandler(handler)
+        log.propagate = False
+    log.setLevel(logging.DEBUG if args.get("debug") else logging.INFO if args.get("verbose") else logging.WARNING)
+
+
 def main(argv: list[str] | None = None) -> int:
     """Runs a command line; 0 if all went well."""
     from ..sources import profiles
@@ -166,8 +178,10 @@ def main(argv: list[str] | None = None) -> int:
     args = parse(layered(argv))
     if args.get("profile") and profiles.load(profiles.PROFILES, str(args.get("profile"))) is None:
         args.errors.append(f"unknown profile: {args.get('profile')}")
+    set_log_level(args)
     if args.errors:
-        print("\n".join(args.errors), file=sys.stderr)
+        for error in args.errors:
+            log.error(error)
         return 2
     kept = _plain(argv, ("--save",), ("--save-profile", "--profile"))
     if args.get("save_profile"):
@@ -196,6 +210,17 @@ def main(argv: list[str] | None = None) -> int:
         settings = settings.but(discovery="filesystem")
     settings = settings.but(max_depth=args.get("max_depth", settings.max_depth), cluster_depth=args.get("cluster_depth", settings.cluster_depth))
     spark = SparkSession.builder.getOrCreate()
+    if args.get("self_test"):
+        from .selftest import self_test
+
+        found = self_test(spark)
+        print("\n".join(f"{name}: {result}" for name, result in found.items()))
+        return int(set(found.values()) != {"ok"})
+    if args.get("benchmark"):
+        from .selftest import benchmark
+
+        print(json.dumps(benchmark(spark)))
+        return 0
     past = str(profiles.folder() / "history")
     if "history" in args.values:
         runs = history.numbered(history.read_history(spark, past))
@@ -205,7 +230,7 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         again = runs.where(F.col("number") == args.get("history")).first()
         if again is None or not os.path.isdir(again.directory):
-            print(f"no such run: {args.get('history')}", file=sys.stderr)
+            log.error("no such run: %s", args.get("history"))
             return 2
         os.chdir(again.directory)
         return main(list(again.arguments))
@@ -217,6 +242,8 @@ def main(argv: list[str] | None = None) -> int:
     many = bool(args.get("cluster"))
     with report.stage("discovery"):
         rows = files.scan_cluster(spark, str(args.get("cluster_dir") or "."), settings) if many else files.scan_folder(spark, ".", settings, args.get("changed_since"))
+    log.info("files are listed: %s", "repositories below " + str(args.get("cluster_dir") or ".") if many else os.getcwd())
+    log.debug("settings: %s", settings)
     with report.stage("plan"):
         result = (pack_many if many else pack)(rows, settings=settings, compressor=compressor_of(args), **options)
     if args.get("dry_run"):
@@ -230,6 +257,7 @@ def main(argv: list[str] | None = None) -> int:
             sinks.write_document(result.document, str(args.get("output")), bool(args.get("append")) and not args.get("no_append"), bool(args.get("direct")))
         else:
             sinks.discard(result.document)
+    log.info("the document is written%s", f": {args.get('output')}" if args.get("output") else " nowhere, as no output is named")
     if args.get("stats") or args.get("json_stats"):
         with report.stage("totals"):
             sinks.discard(report.watch(result.rows))

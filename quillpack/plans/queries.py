@@ -12,10 +12,11 @@ from ..functions.globs import glob_match
 from ..functions.minify import minify_udf
 from ..functions.tokens import token_estimate
 from ..model import Settings
-from ..operators import cluster, content, filters, lines, render, shard, transforms
+from ..operators import cluster, content, filters, lines, render, shard, sinks, transforms
+from ..operators.rows import file_rows as rows_of
 from ..sources import files as S
 from ..sources import history as H
-from ..sources.tables import conversation_files, document_files, page_files, table
+from ..sources.tables import conversation_files, document_files, page_files, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,6 +75,12 @@ def printable_path(spark, d):
     return table(spark, d, "documents").select("doc_id", X.printable(F.col("text")).alias("shown"))
 
 
+@query(f"WITH {_P} SELECT ord, CASE WHEN starts_with('/data/' || path, '/data/src/') THEN substring('/data/' || path, 11) ELSE '/data/' || path END AS relative FROM q")
+def root_split(spark, d):
+    full = F.concat(F.lit("\\data\\"), "path")
+    return _paths(spark, d).select("ord", X.relative_path(full, "/data/src").alias("relative"))
+
+
 # --- path filters
 
 
@@ -151,9 +158,18 @@ def content_include_exclude(spark, d):
     return document_files(spark, d).where(kept).select("ord", "relative")
 
 
-@query(f"WITH {_F} SELECT CASE WHEN size > 4096 THEN 'oversize' WHEN contains(content, '###') THEN 'content_filtered' ELSE 'ok' END AS status, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY ALL")
+_MANY = [*(f"{k} " for k in range(100, 150)), *(f"w{k}." for k in range(10)), "$$$", "a|b", "^(x)", "\\\\E", "the end"]
+
+
+@query(f"WITH {_F} SELECT ord, relative FROM f WHERE {' OR '.join(f'contains(content, {chr(39)}{x}{chr(39)})' for x in _MANY)}")
+def many_literals(spark, d):
+    """More literals than a chain of contains is made for."""
+    return document_files(spark, d).where(content.contains_any(F.col("content"), _MANY)).select("ord", "relative")
+
+
+@query(f"WITH {_F} SELECT CASE WHEN size > 1048576 THEN 'oversize' WHEN contains(content, '###') THEN 'content_filtered' ELSE 'ok' END AS status, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY ALL")
 def file_status(spark, d):
-    found = content.with_status(document_files(spark, d), 4096, exclude=["###"])
+    found = content.with_status(document_files(spark, d), 1 << 20, exclude=["###"])
     return found.groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
@@ -225,6 +241,13 @@ def size_parse(spark, d):
     return table(spark, d, "customer").select("c_custkey", given.alias("given")).withColumn("bytes", X.size_in_bytes(F.col("given")))
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 AND a BETWEEN 1 AND b THEN a END AS slice, CASE WHEN c_custkey % 3 < 2 AND a BETWEEN 1 AND b THEN b END AS shards FROM (SELECT c_custkey, CAST(c_custkey % 9 AS INTEGER) AS a, CAST(c_custkey % 7 AS INTEGER) AS b FROM customer)")
+def shard_spec(spark, d):
+    k = F.col("c_custkey")
+    mark = F.when(k % 3 == 0, F.lit("/")).when(k % 3 == 1, F.lit(" . ")).otherwise(F.lit("-"))
+    return table(spark, d, "customer").select("c_custkey", X.shard_of(F.concat((k % 9).cast("string"), mark, (k % 7).cast("string"))).alias("s")).select("c_custkey", "s.slice", "s.shards")
+
+
 @query("SELECT o_orderkey, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN printf('%.2f KB', floor(s * 100 / 1024.0 + 0.5) / 100) ELSE printf('%.2f MB', floor(s * 100 / 1048576.0 + 0.5) / 100) END AS shown FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey % 1500 WHEN 1 THEN o_orderkey * 64 ELSE o_orderkey * 4096 END AS s FROM orders)")
 def size_format(spark, d):
     k = F.col("o_orderkey")
@@ -258,24 +281,33 @@ def literal_search(spark, d):
     return table(spark, d, "documents").select("doc_id", X.count_occurrences(F.col("text"), F.lit("the")).alias("n"), names.cast("long").alias("names"), long_words.cast("long").alias("long_words"))
 
 
-@query()
+@query(r"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[\p{L}\p{Nd}_]+|[^\p{L}\p{Nd}_]+'), lambda w: CASE w WHEN 'the' THEN 'THE' ELSE w END), '') AS text FROM documents")
 def word_replace(spark, d):
     return table(spark, d, "documents").select("doc_id", X.replace_word(F.col("text"), "the", "THE").alias("text"))
 
 
 # --- rendering
 
-_R = f"{_F}, s AS (SELECT *, CASE WHEN size > 20000 THEN 'oversize' WHEN contains(content, '!!') THEN 'content_filtered' ELSE 'ok' END AS status, regexp_replace(content, '[ \\t\\r\\n]+$', '') AS body FROM f), r AS (SELECT *, CASE status WHEN 'ok' THEN '## File: ' || relative || chr(10) || '````' || {_LANG} || chr(10) || CASE body WHEN '' THEN '' ELSE body || chr(10) END || '````' || chr(10) || chr(10) WHEN 'oversize' THEN '[File too large: ' || relative || ']' || chr(10) ELSE '[Skipped by content filter: ' || relative || ']' || chr(10) END AS section FROM s)"
+#: The limit of the settings' default, and one that shows what becomes of longer files.
+_WHOLE, _SHORT = 1 << 20, 20_000
+
+
+def _r(limit: int) -> str:
+    return f"{_F}, s AS (SELECT *, CASE WHEN size > {limit} THEN 'oversize' WHEN contains(content, '!!') THEN 'content_filtered' ELSE 'ok' END AS status, regexp_replace(content, '[ \\t\\r\\n]+$', '') AS body FROM f), r AS (SELECT *, CASE status WHEN 'ok' THEN '## File: ' || relative || chr(10) || '````' || {_LANG} || chr(10) || CASE body WHEN '' THEN '' ELSE body || chr(10) END || '````' || chr(10) || chr(10) WHEN 'oversize' THEN '[File too large: ' || relative || ']' || chr(10) ELSE '[Skipped by content filter: ' || relative || ']' || chr(10) END AS section FROM s)"
+
 
+_R = _r(_WHOLE)
 
-def _rendered(spark: SparkSession, d: str) -> DataFrame:
-    found = content.with_status(document_files(spark, d), 20_000, exclude=["!!"])
+
+def _rendered(spark: SparkSession, d: str, limit: int = _WHOLE) -> DataFrame:
+    found = content.with_status(document_files(spark, d), limit, exclude=["!!"])
     return render.with_section(render.with_body(found))
 
 
-@query(f"WITH {_R} SELECT ord, status, section, CAST(strlen(section) AS BIGINT) AS section_bytes FROM r")
+@query(f"WITH {_r(_SHORT)} SELECT ord, status, section, CAST(strlen(section) AS BIGINT) AS section_bytes FROM r")
 def render_sections(spark, d):
-    return _rendered(spark, d).select("ord", "status", "section", "section_bytes")
+    """With the short limit, to show the placeholder of longer files."""
+    return _rendered(spark, d, _SHORT).select("ord", "status", "section", "section_bytes")
 
 
 @query(f"WITH {_R} SELECT ord, split_part(relative, '/', 1) AS module, CAST(sum(CASE status WHEN 'ok' THEN strlen(section) ELSE 0 END) OVER (PARTITION BY split_part(relative, '/', 1) ORDER BY upper(relative), ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_bytes FROM r")
@@ -309,6 +341,28 @@ def fence_and_trim(spark, d):
     return table(spark, d, "documents").select("doc_id", X.fence_for(t).alias("fence"), X.trim_end(t).alias("trimmed"))
 
 
+@query(
+    f"""WITH x AS ({_DIRTY}), s AS (SELECT ord, 'd' || ord || '.txt' AS relative, content, CASE WHEN ord % 7 = 0 THEN 'error' WHEN instr(left(content, 4096), chr(0)) > 0 THEN 'binary' ELSE 'ok' END AS status, regexp_replace(content, '[ \\t\\r\\n]+$', '') AS body FROM x)
+    SELECT ord, status, CASE status WHEN 'ok' THEN '## File: ' || relative || chr(10) || '````txt' || chr(10) || CASE body WHEN '' THEN '' ELSE body || chr(10) END || '````' || chr(10) || chr(10) WHEN 'binary' THEN '[Skipping binary file: ' || relative || ']' || chr(10) ELSE '[Error reading file: ' || relative || ']' || chr(10) END AS section FROM s"""
+)
+def render_placeholders(spark, d):
+    """Texts with NULs and files that could not be read: what stands in their place."""
+    k = F.col("ord")
+    failed = F.when(k % 7 == 0, F.lit("gone"))
+    found = rows_of(_dirty(spark, d), F.concat(F.lit("d"), k.cast("string"), F.lit(".txt")), k, F.col("content"), error=failed)
+    return render.with_section(render.with_body(content.with_status(found, 1 << 30))).select("ord", "status", "section")
+
+
+@query(f"WITH {_R} SELECT CAST(sum({_tokens_sql('content')}) AS BIGINT) AS tokens FROM r WHERE status = 'ok'")
+def token_count(spark, d):
+    return sinks.count_tokens(content.with_status(document_files(spark, d), _WHOLE, exclude=["!!"]))
+
+
+@query(f"WITH {_F} SELECT relative AS display FROM f WHERE extension IN ('py', 'md')")
+def dry_run(spark, d):
+    return sinks.dry_run(filters.filter_paths(document_files(spark, d), filters.PathRules(extensions=("py", "md"))))
+
+
 # --- shards
 
 _SHARDS = 5
@@ -361,6 +415,19 @@ def cluster_pack(spark, d):
     return found.select("repo_order", "seq", "ord", "display", "section")
 
 
+@query(
+    """WITH c AS (SELECT 'conv' || conv_id AS repo, conv_id % 11 = 0 AS bad, turn || '_' || role || '.md' AS relative FROM conversations)
+    SELECT repo, CASE WHEN bad THEN 'error' ELSE 'ok' END AS status, count(*) AS files, CAST(sum(CASE WHEN bad THEN strlen('[Error reading file: ' || repo || '/' || relative || ']') + 1 ELSE 0 END) AS BIGINT) AS note_bytes FROM c GROUP BY ALL"""
+)
+def fault_isolation(spark, d):
+    """Repositories that can't be read keep their place and leave the others alone."""
+    number = F.substring("repo", 5, 20).cast("long")
+    found = conversation_files(spark, d).withColumn("error", F.when(number % 11 == 0, F.lit("broken")))
+    shown = render.with_section(render.with_body(content.with_status(cluster.with_markers(cluster.with_errors(found)), 1 << 20))).where("kind = 'file'")
+    notes = F.when(F.col("status") == "error", F.col("section_bytes")).otherwise(F.lit(0))
+    return shown.groupBy("repo", "status").agg(F.count(F.lit(1)).alias("files"), F.sum(notes).cast("long").alias("note_bytes"))
+
+
 # --- snapshots and history
 
 
@@ -389,22 +456,22 @@ def history_upsert(spark, d):
 
 @query()
 def minify(spark, d):
-    return document_files(spark, d).select("ord", minify_udf(F.col("content"), F.col("language")).alias("content"))
+    return spread(document_files(spark, d)).select("ord", minify_udf(F.col("content"), F.col("language")).alias("content"))
 
 
 @query()
 def minify_pages(spark, d):
-    return page_files(spark, d).select("ord", minify_udf(F.col("content"), F.col("language")).alias("content"))
+    return spread(page_files(spark, d)).select("ord", minify_udf(F.col("content"), F.col("language")).alias("content"))
 
 
 @query()
 def phrase_candidates(spark, d):
-    return transforms.phrase_candidates(table(spark, d, "documents"), "doc_id", "text")
+    return transforms.phrase_candidates(spread(table(spark, d, "documents")), "doc_id", "text")
 
 
 @query()
 def phrase_compress(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("document"))
+    docs = spread(table(spark, d, "documents")).select("doc_id", F.col("text").alias("document"))
     return transforms.apply_transforms(docs, [transforms.compress_phrases()])
 
 
@@ -413,7 +480,7 @@ def brain_pack(spark, d):
     """Documents of each module: minified, packed, and their phrases compressed."""
     from .pack import pack
 
-    result = pack(document_files(spark, d), brain=True, max_output="999GB", settings=Settings(max_files=1 << 30))
+    result = pack(spread(document_files(spark, d)), brain=True, max_output="999GB", settings=Settings(max_files=1 << 30))
     parts = render.document(result.rows.withColumn("module", X.module_key(F.col("relative"))), by=["module"])
     return transforms.apply_transforms(parts, [transforms.compress_phrases()]).drop("legend")
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,9 +89,19 @@ def changed_files(root: str, ref: str) -> list[str]:
 
 
 def changed_since(old: DataFrame, new: DataFrame, path: str = "relative", content: str = "content") -> DataFrame:
-    """The rows of new whose path or content is not in old: the same question for tables. Only hashes of old are shuffled."""
-    seen = old.select(F.col(path).alias("__p"), F.sha2(F.coalesce(content, F.lit("")), 256).alias("__h"))
-    return new.join(seen, (F.col(path) == F.col("__p")) & (F.sha2(F.coalesce(F.col(content), F.lit("")), 256) == F.col("__h")), "left_anti")
+    """The rows of new whose path or content is not in old: the same question for tables.
+
+    Paths and hashes are compared first; contents of new take part only where the list of changed paths is joined to them.
+    """
+
+    def digest() -> Column:
+        return F.sha2(F.coalesce(F.col(content), F.lit("")), 256)
+
+    seen = old.select(F.col(path).alias("__p"), digest().alias("__h"))
+    keyed = new.withColumn("__sha", digest())
+    changed = keyed.select(F.col(path).alias("__path"), F.col("__sha").alias("__new")).distinct()
+    changed = changed.join(seen, (F.col("__path") == F.col("__p")) & (F.col("__new") == F.col("__h")), "left_anti")
+    return keyed.join(changed, F.col(path).eqNullSafe(F.col("__path")) & (F.col("__sha") == F.col("__new")), "left_semi").drop("__sha")
 
 
 def find_repos(root: str, max_depth: int = 2, skip: tuple[str, ...] = ()) -> list[tuple[str, str, str]]:
@@ -184,18 +194,21 @@ def _rows(listed: DataFrame, settings: Settings, max_file_size: int, partitions:
     return rows
 
 
-def scan_binary_files(spark: SparkSession, path: str, settings: Settings = Settings()) -> DataFrame:
+def scan_binary_files(spark: SparkSession, path: str, settings: Settings = Settings(), max_file_size: int = 1 << 20) -> DataFrame:
     """File rows of a folder in any storage that Spark reads (object stores too), by its own distributed listing.
 
-    Names that start with _ or a dot are not listed there; skipped folders are filtered by path before contents are read.
+    Names that start with _ or a dot are not listed there; skipped folders are filtered by path, and files above max_file_size by their length, before
+    contents are read: such a file, of any size, is a row with its size and no content. All have ord 0, so files come in the order of their paths.
     """
     skip = "|".join(s.replace(".", "\\.") for s in WALK_SKIP)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(~F.col("path").rlike(f"(?i)/(?:{skip})/"))
     bare = path.replace("file://", "").replace("file:", "").rstrip("/")
-    relative = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "^" + "\\Q" + bare + "\\E/", "")
+    relative = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "^" + "\\Q" + bare + "\\E/", "").alias("path")
     text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "^\\x{feff}", "")
-    numbered = found.select(relative.alias("path"), F.coalesce(text, F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\\x{feff}", "")).alias("content"), "length")
-    return file_rows(numbered, F.col("path"), F.xxhash64("path"), F.col("content"), F.col("length"), languages=settings.languages)
+    decoded = F.coalesce(text, F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\\x{feff}", "")).alias("content")
+    small = found.where(F.col("length") <= max_file_size).select(relative, decoded, "length")
+    large = found.where(F.col("length") > max_file_size).select(relative, F.lit(None).cast("string").alias("content"), "length")
+    return file_rows(small.unionByName(large), F.col("path"), F.lit(0), F.col("content"), F.col("length"), languages=settings.languages)
 
 
 def repo_table(spark: SparkSession, root: str, settings: Settings = Settings()) -> DataFrame:

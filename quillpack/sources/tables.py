@@ -16,6 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+#: Bytes of input a core below which rows are spread before sequential work on each text.
+SMALL = 64 << 20
+
+
+def spread(rows: DataFrame, small: int = SMALL) -> DataFrame:
+    """rows over all cores, if their input is small: such a table often is one row group and so one task.
+
+    A larger input has splits enough, and is not moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < small * cores else rows
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as source/lang/doc<id>.<ext>, the extension by id in turn."""
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("doc_id") % len(EXTENSIONS) + 1).cast("int"))

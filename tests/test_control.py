@@ -124,3 +124,15 @@ def test_ledger(spark):
     ledger = landing.ledger_rows(rows)
     new = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", None), ("c", "1")], "display string, content string")
     assert sorted((r.display, r.content) for r in landing.unseen(new, ledger).collect()) == [("a", "2"), ("c", "1")]
+
+
+def test_log_levels_and_self_test(spark):
+    import logging
+
+    from quillpack.plans import selftest
+
+    for words, level in (([], logging.WARNING), (["-v"], logging.INFO), (["-v", "--debug"], logging.DEBUG)):
+        cli.set_log_level(cli.parse(words))
+        assert cli.log.level == level and sum(type(h) is logging.StreamHandler for h in cli.log.handlers) == 1
+    assert set(selftest.self_test(spark).values()) == {"ok"}
+    assert selftest.benchmark(spark, 20, 2, 1)["files"] == 20

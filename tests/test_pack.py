@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quillpack.model import Settings
-from quillpack.operators import cluster, content, render, shard, sinks
+from quillpack.operators import cluster, content, filters, render, shard, sinks
 from quillpack.operators.rows import file_rows
 from quillpack.plans.pack import pack, pack_many
 from quillpack.sources import files
@@ -81,6 +81,16 @@ def test_walk_skips_links_and_cycles(folder):
 def test_binary_source(spark, folder):
     got = {r.relative: r.content for r in files.scan_binary_files(spark, f"file://{folder}").collect()}
     assert got["b.cs"].startswith("class B") and got["bom.txt"] == "hi" and got["bad.txt"] == "a�b" and "node_modules/m.js" not in got
+    short = files.scan_binary_files(spark, f"file://{folder}", max_file_size=5)
+    rows = {r.relative: r for r in content.with_status(short, 5).collect()}
+    assert rows["b.cs"].content is None and rows["b.cs"].size == 15 and rows["b.cs"].status == "oversize" and rows["bom.txt"].content == "hi" and len(rows) == len(got)
+    assert [r.relative for r in filters.first_files(short, 2).collect()] == sorted(got)[:2]
+
+
+def test_changes_between_tables(spark):
+    old = spark.createDataFrame([("a", "1"), ("b", "2"), (None, "3"), ("e", None)], "relative string, content string")
+    new = spark.createDataFrame([("a", "1"), ("b", "3"), ("c", "1"), (None, "3"), ("e", ""), ("b", "2")], "relative string, content string")
+    assert sorted(map(str, files.changed_since(old, new).collect())) == sorted(map(str, new.where("relative IS NULL OR relative = 'c' OR content = '3' AND relative = 'b'").collect()))
 
 
 def test_sections_stay_in_their_fences_and_names_in_their_lines(spark):
