@@ -40,36 +40,83 @@ def test_budgets_are_met_exactly_and_shares_follow():
     assert (abs(take - counts / 2)[counts >= 100] <= 40).all()
 
 
-def brute_mix(rows, seed=17):
-    """rows: (doc_id, source, n). The mix by plain Python; seeded order is checked through counts."""
-    by = {}
-    for _, s, n in rows:
-        if n:
-            by.setdefault(s, []).append(n)
-    total = {s: sum(v) for s, v in by.items()}
-    w = {s: float(t) ** 0.7 for s, t in total.items()}
-    tokens = min(total[s] / w[s] for s in by) * sum(w.values())
-    out = {}
-    for s, v in by.items():
-        lengths, counts = np.unique(v, return_counts=True)
-        out[s] = (int(tokens * w[s] / sum(w.values()) + 1e-6), dict(zip(lengths.tolist(), M.fit_budget(lengths, counts, int(tokens * w[s] / sum(w.values()) + 1e-6)).tolist())))
+@given(POOL, st.integers(0, 200))
+@settings(deadline=None)
+def test_a_budget_is_met_whenever_it_can_be(pool, budget):
+    take = M.fit_budget(np.array([n for n, _ in pool], dtype=np.int64), np.array([c for _, c in pool], dtype=np.int64), budget)
+    assert all(0 <= t <= c for t, (_, c) in zip(take, pool)) and sum(int(t) * n for t, (n, _) in zip(take, pool)) == best_sum([n for n, c in pool for _ in range(c)], budget)
+
+
+def best_sum(lengths, budget):
+    """The largest sum up to budget of some of the lengths: bit k of a number says whether k is a sum."""
+    sums, mask = 1, (1 << budget + 1) - 1
+    for n in lengths:
+        sums |= sums << n & mask
+    return sums.bit_length() - 1
+
+
+def budgets(total, tokens, temperature=0.7):
+    """Each source's tokens, by giving small sources all they have one after the other."""
+    w, out, left = {s: float(t) ** temperature for s, t in total.items()}, {}, dict(total)
+    while left:
+        level = tokens / sum(w[s] for s in left)
+        short = [s for s in left if left[s] <= level * w[s]]
+        if not short:
+            return out | {s: int(level * w[s] + 1e-6) for s in left}
+        s = min(short, key=lambda s: left[s] / w[s])
+        tokens -= left[s]
+        out[s] = left.pop(s)
     return out
 
 
+def check_mix(rows, chosen, share):
+    """rows: (doc_id, source, n, hash). chosen: ids. Every source's sum is the best there is, and of each length the ids of the least hashes are taken."""
+    total = {}
+    for _, s, n, _ in rows:
+        if n:
+            total[s] = total.get(s, 0) + n
+    assert len(chosen) == len(set(chosen))
+    taken = set(chosen)
+    for s, budget in budgets(total, share * sum(total.values())).items():
+        mine = [r for r in rows if r[1] == s and r[2]]
+        assert sum(n for i, _, n, _ in mine if i in taken) == best_sum([n for _, _, n, _ in mine], budget)
+        for length in {n for _, _, n, _ in mine}:
+            ids = [i for _, i in sorted((h, i) for i, _, n, h in mine if n == length)]
+            k = sum(i in taken for i in ids)
+            assert set(ids[:k]) == {i for i in ids if i in taken}
+    return total
+
+
+def measured(docs, seed=17):
+    """(doc_id, source, tokens, seeded hash) of documents."""
+    encode = common.encoding(common.TOKENIZER).encode_ordinary
+    return [(r.doc_id, r.source, len(encode(r.text or "")), r.h) for r in docs.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))).collect()]
+
+
 def test_mix_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    encode = common.encoding(common.TOKENIZER).encode_ordinary
-    rows = [(r.doc_id, r.source, len(encode(r.text))) for r in docs.collect()]
-    got = M.mix_sources(docs).collect()
-    have = {}
-    for r in got:
-        have.setdefault(r.source, {}).setdefault(r.n_tokens, []).append(r.doc_id)
-    lengths = {d: n for d, _, n in rows}
-    assert all(lengths[r.doc_id] == r.n_tokens for r in got) and len({r.doc_id for r in got}) == len(got)
-    for source, (budget, take) in brute_mix(rows).items():
-        assert {n: len(v) for n, v in have.get(source, {}).items()} == {n: k for n, k in take.items() if k}
-        assert sum(n * k for n, k in take.items()) <= budget
-    assert cases.same(M.mix_sources(docs).drop("th"), M.mix_sources(docs.repartition(5)).drop("th"))
+    rows, got = measured(docs), M.mix_sources(docs, share=M.SHARE).collect()
+    lengths = {i: n for i, _, n, _ in rows}
+    assert all(lengths[r.doc_id] == r.n_tokens for r in got)
+    total = check_mix(rows, [r.doc_id for r in got], M.SHARE)
+    assert 0.99 * M.SHARE * sum(total.values()) <= sum(r.n_tokens for r in got) <= M.SHARE * sum(total.values()) and len(total) > 2
+    assert cases.same(M.mix_sources(docs, share=M.SHARE).drop("th"), M.mix_sources(docs.repartition(5), share=M.SHARE).drop("th"))
+    assert sorted(r.doc_id for r in M.select_mix(docs, share=M.SHARE).collect()) == sorted(r.doc_id for r in got)
+
+
+def test_hot_lengths_are_ranked_in_slices(spark, monkeypatch):
+    """A third of all documents of one length and source, in slices of a few rows, with and without broadcast cutoffs; repeated rows are counted one by one."""
+    rows = [(i, f"word {i % 90 + 10} here", "en", "hot") for i in range(400)] + [(1000 + i, "word " * (2 + i % 30), "en", "b") for i in range(600)]
+    docs = cases.documents(spark, rows)
+    want = sorted(r.doc_id for r in M.mix_sources(docs, share=0.5).collect())
+    check_mix(measured(docs), want, 0.5)
+    for slice_, most in ((7, M.BROADCAST_CUTS), (7, 0)):
+        monkeypatch.setattr(M, "SLICE", slice_)
+        monkeypatch.setattr(M, "BROADCAST_CUTS", most)
+        assert sorted(r.doc_id for r in M.mix_sources(docs, share=0.5).collect()) == want
+        assert sorted(r.doc_id for r in M.select_mix(docs, share=0.5).collect()) == want
+    repeated = cases.documents(spark, [(1, "one two three", "en", "s")] * 60 + [(2, "one two three", "en", "s")] * 40)
+    assert M.mix_sources(repeated, share=0.5).count() == 50
 
 
 def test_mix_to_given_weights(spark):
