@@ -1,14 +1,16 @@
 """The pipeline, and the entry module with and without it."""
 
+import os
+
 import cases
 import pytest
 
 import corpus_pipeline as C
-from quillpack.llm import jaccard_join, packing, quality
+from quillpack.llm import jaccard_join, mixing, packing, quality
 from test_jaccard_join import brute as brute_pairs
 from test_jaccard_join import groups
 from test_line_dedup import brute as brute_lines
-from test_mixing_packing import brute_mix
+from test_mixing_packing import check_mix, measured
 
 
 @pytest.fixture(scope="module")
@@ -64,16 +66,9 @@ def test_join_stage(stages):
 
 
 def test_mixing_stage(stages):
-    from quillpack.llm import common
-
     before, after = stages[3]
-    encode = common.encoding(common.TOKENIZER).encode_ordinary
-    rows = [(r.doc_id, r.source, len(encode(r.text))) for r in before.collect()]
-    n = {}
-    for r in after.collect():
-        n.setdefault(r.source, {}).setdefault(len(encode(r.text)), []).append(r.doc_id)
-    for source, (_, take) in brute_mix(rows).items():
-        assert {k: len(v) for k, v in n.get(source, {}).items()} == {k: v for k, v in take.items() if v}
+    rows = [(str(i), s, n, h) for i, s, n, h in measured(before)]
+    check_mix(rows, [str(r.doc_id) for r in after.collect()], mixing.SHARE)
 
 
 def test_packing_stage(stages):
@@ -82,7 +77,11 @@ def test_packing_stage(stages):
 
 
 def test_run_goes_through_all_stages(spark):
-    assert C.run(spark, "/root/testdata/sf0.001").count() > 0 and C.ORACLE_SQL is None and jaccard_join.N == 2
+    rows = C.run(spark, "/root/testdata/sf0.001")
+    assert rows.count() > 0 and C.ORACLE_SQL is None and jaccard_join.N == 2
+    # Only the last stage's rows are left of the run.
+    folder = os.path.dirname(rows.inputFiles()[0].removeprefix("file:").replace("file://", ""))
+    assert os.listdir(os.path.dirname(folder)) == ["4"] and not [x for x in os.listdir(os.path.dirname(os.path.dirname(folder))) if x.startswith("stored-")]
 
 
 def test_every_stage_takes_an_empty_table(spark):
