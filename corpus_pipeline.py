@@ -22,29 +22,45 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def grade_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are good (grade 1 or more) with a chance of a half at least. Rejected: junk, NULL and empty texts."""
+    """Documents that are good (grade 1 or more) with a chance of a half at least. Rejected: junk, NULL and empty texts.
+
+    Repeated rows are judged alike; a NULL id is carried; very long texts are judged whole; further columns go.
+    """
     labels = spark.read.parquet(os.path.join(sf_dir, "labels.parquet"))
     model = quality.fit(docs, quality.graded(labels))
     return _columns(quality.grade(docs, model).where("keep"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each line stays only where it first occurs in the corpus; documents left without any go. n_chars follows the text."""
+    """Each line stays only where it first occurs in the corpus; documents left without any go. n_chars follows the text.
+
+    NULL and empty texts have no line to keep and go; of repeated rows one stays; a NULL id is an id of its own; further columns go.
+    """
     return _columns(line_dedup.apply_bitmaps(docs).withColumn("n_chars", F.length("text").cast("long")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the least id."""
+    """One document of each group of near duplicates: that of the least id.
+
+    Rows with a NULL id or text, or without words, stay; of repeated rows one stays; further columns go.
+    """
     return _columns(jaccard_join.keep_one(docs))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that fill every source's token budget."""
-    return _columns(mixing.select_mix(docs))
+    """The documents that fill every source's token budget: mixing.SHARE of all tokens, by weights n ** 0.7 of sources of n tokens.
+
+    NULL and empty texts have no tokens and go; a NULL source is one of its own; a small source gives all it has; repeated rows are documents each; further columns go.
+    """
+    return _columns(mixing.select_mix(docs, share=mixing.SHARE))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document, or piece of one, goes: pack_group and seq, with its tokens and cost."""
+    """Where each document, or piece of one, goes: pack_group and seq, with its tokens and cost.
+
+    NULL and empty texts have no tokens and no place; repeated rows are documents each; a NULL id is carried; a text above a sequence's capacity is
+    cut into pieces; further columns are ignored.
+    """
     return packing.pack_balanced(docs)
 
 
@@ -67,4 +83,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        # What this stage read is of no more use; the last stage's rows are the result and stay.
+        common.drop_stored(spark)
+        if k:
+            common.remove(spark, f"{folder}/{k - 1}")
     return docs
