@@ -540,10 +540,6 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-#: Ids up to which the documents to drop are broadcast (under 100 MB); beyond, they are joined by a shuffle.
-BROADCAST_IDS = 500_000
-
-
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, t: int = T, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row, that of the least id, of each group of near duplicates (pairs of near_pairs, taken transitively).
 
@@ -564,9 +560,8 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     number = F.col(f"`{id_col}`").cast("long")
 
     def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
-        ids = ids.select(F.col("doc_id").alias(key)).distinct()
-        small = ids.count() <= BROADCAST_IDS
-        return rows.join(F.broadcast(ids) if small else ids, number == F.col(key), "left_anti")
+        # No hint: the list of ids grows with the corpus. Spark broadcasts it if it measures that it is small; else the rows are joined by one shuffle.
+        return rows.join(ids.select(F.col("doc_id").alias(key)).distinct(), number == F.col(key), "left_anti")
 
     if repeated.isEmpty():
         return without(docs, durable(plain))
