@@ -81,28 +81,34 @@ def packbits_encode(data: bytes) -> bytes:
 _BASE = [bytes((k,)) for k in range(256)] + [b"", b""]
 
 
-def _codes(bits: np.ndarray, at: int, width: int, count: int) -> np.ndarray:
-    count = min(count, (len(bits) - at) // width)
+#: Codes of LZW that are unpacked at once: 12 bits each, 48 KB.
+_CODES = 1 << 12
+
+
+def _codes(data: np.ndarray, at: int, width: int, count: int) -> np.ndarray:
+    """Up to count codes of width bits from bit `at` on."""
+    count = min(count, _CODES, (8 * len(data) - at) // width)
     if count <= 0:
         return np.zeros(0, dtype=np.int64)
-    return bits[at : at + count * width].reshape(count, width) @ (1 << np.arange(width - 1, -1, -1))
+    bits = np.unpackbits(data[at >> 3 : (at + count * width + 7) >> 3])[at & 7 :][: count * width]
+    return bits.reshape(count, width) @ (1 << np.arange(width - 1, -1, -1))
 
 
 def lzw_decode(data: bytes, expected: int) -> bytes:
-    """TIFF's LZW: codes of 9 to 12 bits, high bits first, each width ending one entry early."""
-    bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8)).astype(np.int64)
-    out, length, at = [], 0, 0
+    """TIFF's LZW: codes of 9 to 12 bits, high bits first, each width ending one entry early. Codes are unpacked a block at a time."""
+    stream = np.frombuffer(data, dtype=np.uint8)
+    out, at = bytearray(), 0
     table, previous = list(_BASE), b""
-    while length < expected:
+    while len(out) < expected:
         # After a clear, entry 258 + k is made by code k + 2: how many codes of this width are left is known.
         width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
         limit = (1 << width) - 1 - len(table) if width < 12 else 1 << 16
-        codes = _codes(bits, at, width, max(1, limit + (not previous)))
+        codes = _codes(stream, at, width, max(1, limit + (not previous)))
         if not len(codes):
             break
         stop = np.flatnonzero((codes == 256) | (codes == 257))
         used = int(stop[0]) if len(stop) else len(codes)
-        append, add = out.append, table.append
+        add = table.append
         for code in codes[:used].tolist():
             if code < len(table):
                 entry = table[code]
@@ -112,8 +118,7 @@ def lzw_decode(data: bytes, expected: int) -> bytes:
                 raise TiffError("LZW code out of range")
             if previous:
                 add(previous + entry[:1])
-            append(entry)
-            length += len(entry)
+            out += entry
             previous = entry
         at += width * used
         if len(stop):
@@ -121,7 +126,7 @@ def lzw_decode(data: bytes, expected: int) -> bytes:
             if codes[used] == 257:
                 break
             table, previous = list(_BASE), b""
-    return b"".join(out)[:expected]
+    return bytes(out[:expected])
 
 
 def lzw_encode(data: bytes) -> bytes:
@@ -169,6 +174,10 @@ def _inflate(data: bytes, expected: int) -> bytes:
         raise TiffError(f"deflate: {e}") from None
 
 
+#: Each byte with its bits in reverse.
+_REVERSED = bytes(int(f"{k:08b}"[::-1], 2) for k in range(256))
+
+
 def decompress(data: bytes, compression: int, expected: int) -> bytes:
     if compression == NONE:
         return data[:expected]
@@ -253,7 +262,7 @@ def _page(data: bytes, order: str, f: dict[int, tuple]) -> Page:
     width, height = one(256), one(257)
     depths = f.get(258) or (1,)
     samples, compression = one(277, 1), one(259, NONE)
-    predictor, planar, photometric = one(317, 1), one(284, 1), one(262, 1)
+    predictor, planar, photometric, fill = one(317, 1), one(284, 1), one(262, 1), one(266, 1)
     bits = int(depths[0])
     if any(b != bits for b in depths) or bits not in (1, 2, 4, 8, 16, 32, 64):
         raise TiffError(f"samples of {depths} bits")
@@ -261,6 +270,8 @@ def _page(data: bytes, order: str, f: dict[int, tuple]) -> Page:
         raise TiffError("a size out of range")
     if predictor not in (1, 2, 3) or (predictor == 2 and bits < 8) or (predictor == 3 and bits < 16):
         raise TiffError(f"predictor {predictor} with {bits} bits")
+    if fill not in (1, 2):
+        raise TiffError(f"fill order {fill}")
     tiled = 322 in f
     w, h = (one(322), one(323)) if tiled else (width, min(one(278, height), height))
     if w <= 0 or h <= 0:
@@ -279,7 +290,8 @@ def _page(data: bytes, order: str, f: dict[int, tuple]) -> Page:
         rows = h if tiled else min(h, height - y)
         if at + size > len(data):
             raise TiffError("a strip or tile lies beyond the end")
-        raw = decompress(data[at : at + size], compression, row_bytes * rows)
+        stored = data[at : at + size].translate(_REVERSED) if fill == 2 else data[at : at + size]
+        raw = decompress(stored, compression, row_bytes * rows)
         if len(raw) < row_bytes * rows:
             raise TiffError("a strip or tile is too short")
         block = np.frombuffer(raw, dtype=np.uint8).reshape(rows, row_bytes)
@@ -392,8 +404,8 @@ def tiff_pages(images: DataFrame, id_col: str = "page_id", image_col: str = "tif
     """One row per page: image_id, page (from 0), width, height, bits, samples, compression, photometric, predictor, layout, pixels, error.
 
     Defined cases: NULL and empty images have no pages; bytes that are no TIFF, and pages that are damaged or of an unknown kind, give
-    a row with error and NULL pixels, and the other pages of the image are still read; NULL ids are carried; repeated rows each
-    give their pages; other columns are ignored; no rows give no rows.
+    a row with error and NULL pixels, and the other pages of the image are still read; a page of more than 2 GiB of samples, which no cell can hold, is such
+    an error too; NULL ids are carried; repeated rows each give their pages; other columns are ignored, whatever their names; no rows give no rows.
     """
     names = [f.split()[0] for f in _OUT.split(", ")]
 

@@ -49,6 +49,65 @@ def test_float_predictor_undoes_real_floats():
     assert np.frombuffer(got.pixels, dtype=np.float32).reshape(4, 6).tolist() == image.tolist()
 
 
+def by_hand(fields, blocks, order="<", big=False):
+    """A file of one directory, written out: fields by tag (values as longs), and the strips that tag 273 points at."""
+    import struct
+
+    word = "Q" if big else "I"
+    head = (b"II" if order == "<" else b"MM") + (struct.pack(order + "HHHQ", 43, 8, 0, 16) if big else struct.pack(order + "HI", 42, 8))
+    size = len(head) + (8 + 20 * (len(fields) + 2) + 8 if big else 2 + 12 * (len(fields) + 2) + 4)
+    places = np.cumsum([0, *map(len, blocks)])[:-1]
+    extra, rows = b"", {**fields}
+    body_at = size + 8 * 8 * 4
+    rows[273], rows[279] = [body_at + int(p) for p in places], [len(b) for b in blocks]
+    out = struct.pack(order + ("Q" if big else "H"), len(rows))
+    for tag in sorted(rows):
+        values = rows[tag] if isinstance(rows[tag], list) else [rows[tag]]
+        raw = struct.pack(f"{order}{len(values)}{word}", *values)
+        out += struct.pack(order + ("HHQ" if big else "HHI"), tag, 16 if big else 4, len(values))
+        if len(raw) > (8 if big else 4):
+            out += struct.pack(order + word, size + len(extra))
+            extra += raw
+        else:
+            out += raw.ljust(8 if big else 4, b"\0")
+    out = head + out + bytes(8 if big else 4)
+    return (out + extra).ljust(body_at, b"\0") + b"".join(blocks)
+
+
+@pytest.mark.parametrize("order", "<>")
+@pytest.mark.parametrize("big", [False, True])
+def test_files_written_by_hand(order, big):
+    def pixels(fields, blocks):
+        (page,) = T.read_tiff(by_hand({256: 3, 257: 2, 259: 1, **fields}, blocks, order, big))
+        assert not isinstance(page, T.TiffError), page
+        return list(page.pixels)
+
+    # Samples of 1, 2 and 4 bits: each row starts at a byte.
+    assert pixels({258: 1}, [bytes([0b10100000, 0b01100000])]) == [1, 0, 1, 0, 1, 1]
+    assert pixels({258: 2}, [bytes([0b11100100, 0b00011000])]) == [3, 2, 1, 0, 1, 2]
+    assert pixels({258: 4}, [bytes([0xAB, 0xC0, 0x12, 0x30])]) == [10, 11, 12, 1, 2, 3]
+    # Two planes, a strip each, and strips of one row.
+    assert pixels({258: [8, 8], 277: 2, 284: 2}, [bytes(range(6)), bytes(range(10, 16))]) == [0, 10, 1, 11, 2, 12, 3, 13, 4, 14, 5, 15]
+    assert pixels({258: 8, 278: 1}, [b"abc", b"def"]) == list(b"abcdef")
+    # Bits in reverse order, plain and compressed.
+    turned = bytes(int(f"{k:08b}"[::-1], 2) for k in b"abcdef")
+    assert pixels({258: 8, 266: 2}, [turned]) == list(b"abcdef")
+    squeezed = bytes(int(f"{k:08b}"[::-1], 2) for k in T.lzw_encode(b"aaaaaa"))
+    assert pixels({258: 8, 266: 2, 259: T.LZW}, [squeezed]) == list(b"aaaaaa")
+    assert isinstance(next(T.read_tiff(by_hand({256: 3, 257: 2, 259: 1, 258: 8, 266: 3}, [b"abcdef"], order, big))), T.TiffError)
+
+
+def test_lzw_memory_does_not_follow_the_strip():
+    import tracemalloc
+
+    data = T.lzw_encode(bytes(np.random.default_rng(1).integers(0, 256, 400_000, dtype=np.uint8)))
+    tracemalloc.start()
+    out = T.lzw_decode(data, 400_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 400_000 and peak < 30 << 20
+
+
 def test_damage():
     good = T.write_tiff([np.zeros((4, 4), np.uint8), np.ones((4, 4), np.uint8)])
     assert isinstance(next(T.read_tiff(b"GIF89a..")), T.TiffError)
