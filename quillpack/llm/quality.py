@@ -65,21 +65,18 @@ def frequencies(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_rows(texts: list[str], grades: np.ndarray, l2: float = 1e-5) -> QualityModel:
-    """The model of these rated texts. With fewer than two grades there is nothing to tell apart and no threshold."""
-    width = (1 << BITS) + 2
-    names, y = np.unique(np.asarray(grades, dtype=np.int64), return_inverse=True)
-    if len(names) < 2:
-        return QualityModel(np.zeros(width), np.zeros(0), tuple(names.tolist()) or (0,))
-    pairs = [frequencies(t) for t in texts]
-    rows = Rows([c for c, _ in pairs], width, [v for _, v in pairs])
-    cuts = len(names) - 1
-    share = np.cumsum(np.bincount(y, minlength=len(names)))[:-1] / len(y)
-    start = np.log(share / (1 - share))
-    # thresholds = first, then gaps as exponentials: they stay in order
-    free = np.concatenate((start[:1], np.log(np.maximum(np.diff(start), 1e-3))))
+    """fit_features of texts."""
+    return fit_features([frequencies(t) for t in texts], grades, l2)
+
+
+def ordered(u: np.ndarray) -> np.ndarray:
+    """Thresholds from free numbers: the first as it is, then the logarithms of the gaps."""
+    return np.cumsum(np.concatenate((u[:1], np.exp(np.clip(u[1:], -30, 30)))))
 
-    def ordered(u: np.ndarray) -> np.ndarray:
-        return np.cumsum(np.concatenate((u[:1], np.exp(np.clip(u[1:], -30, 30)))))
+
+def loss_of(rows: Rows, y: np.ndarray, cuts: int, l2: float):
+    """The mean loss of rated rows (y from 0 to cuts), and its gradient, by weights and then free thresholds."""
+    width = rows.width
 
     def logistic(z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
@@ -99,7 +96,23 @@ def fit_rows(texts: list[str], grades: np.ndarray, l2: float = 1e-5) -> QualityM
         value = -float(np.log(p).sum()) / n + 0.5 * l2 * float(w @ w)
         return value, np.concatenate((rows.back(du - dl) / n + l2 * w, tail * scale / n))
 
-    v = lbfgs(loss, np.concatenate((np.zeros(width), free)), steps=120)
+    return loss
+
+
+def fit_features(pairs: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, l2: float = 1e-5) -> QualityModel:
+    """The model of rated texts with these columns and values. With fewer than two grades there is nothing to tell apart and no threshold."""
+    width = (1 << BITS) + 2
+    names, y = np.unique(np.asarray(grades, dtype=np.int64), return_inverse=True)
+    if len(names) < 2:
+        return QualityModel(np.zeros(width), np.zeros(0), tuple(names.tolist()) or (0,))
+    rows = Rows([c for c, _ in pairs], width, [v for _, v in pairs])
+    cuts = len(names) - 1
+    share = np.cumsum(np.bincount(y, minlength=len(names)))[:-1] / len(y)
+    start = np.log(share / (1 - share))
+    # thresholds = first, then gaps as exponentials: they stay in order
+    free = np.concatenate((start[:1], np.log(np.maximum(np.diff(start), 1e-3))))
+
+    v = lbfgs(loss_of(rows, y, cuts, l2), np.concatenate((np.zeros(width), free)), steps=120)
     return QualityModel(v[:width], ordered(v[width:]), tuple(names.tolist()))
 
 
@@ -111,15 +124,27 @@ def score_text(model: QualityModel, text: str) -> np.ndarray:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grade: str = "grade", max_train: int = MAX_TRAIN, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """A model of the rated documents, fitted in one executor task; only its weights come to the driver."""
+    """A model of the rated documents, fitted in one executor task; only its weights come to the driver.
+
+    Features are made where the texts are and sent to that task, so what it holds is bounded by their number however long the texts.
+    """
     rows = training_rows(docs, ratings, grade, max_train, seed, id_col, text_col)
 
+    @F.pandas_udf("columns binary, values binary")
+    def measure(texts: pd.Series) -> pd.DataFrame:
+        pairs = [frequencies(t) for t in texts]
+        return pd.DataFrame({"columns": [c.astype(np.uint32).tobytes() for c, _ in pairs], "values": [v.astype(np.float32).tobytes() for _, v in pairs]})
+
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = pd.concat([pd.DataFrame({"text": [], "y": []}), *batches])
-        model = fit_rows(seen["text"].tolist(), seen["y"].to_numpy())
+        pairs, y = [], []
+        for batch in batches:
+            pairs += [(np.frombuffer(c, dtype=np.uint32), np.frombuffer(v, dtype=np.float32)) for c, v in zip(batch["columns"], batch["values"], strict=True)]
+            y += batch["y"].tolist()
+        model = fit_features(pairs, np.array(y, dtype=np.int64))
         yield pd.DataFrame({"weights": [model.weights.tobytes()], "thresholds": [model.thresholds.tolist()], "grades": [list(model.grades)]})
 
-    got = rows.select("text", "y").mapInPandas(train, "weights binary, thresholds array<double>, grades array<int>").collect()
+    sent = rows.select("_id", "y", measure("text").alias("f")).select("_id", "y", "f.columns", "f.values").repartition(1).sortWithinPartitions("_id")
+    got = sent.select("columns", "values", "y").mapInPandas(train, "weights binary, thresholds array<double>, grades array<int>").collect()
     if not got:
         return fit_rows([], np.zeros(0))
     return QualityModel(np.frombuffer(got[0]["weights"], dtype=np.float64), np.array(got[0]["thresholds"], dtype=float), tuple(got[0]["grades"]))
@@ -134,7 +159,7 @@ def grade(docs: DataFrame, model: QualityModel, at_least: int = 1, cutoff: float
     """docs with expected_grade, p_tail = P(grade >= at_least) and keep = p_tail >= cutoff; its own columns of these names are replaced.
 
     Defined cases: an empty or NULL text (or only white space) has no evidence: expected grade and p_tail are 0 and keep is false; repeated rows are
-    graded alike; NULLs elsewhere and further columns pass through; no rows give no rows. Ratings with fewer than two
+    graded alike; very long texts are graded whole; NULLs elsewhere and further columns pass through; no rows give no rows. Ratings with fewer than two
     grades (none: grade 0) give every text that grade; p_tail is then 1 or 0.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
