@@ -68,7 +68,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (doc_id, text hash, position) order stays, later ones go, within and across documents. Blank lines (empty or spaces)
     always stay. Defined cases: NULL text has 0 lines and an empty bitmap; an empty text is one blank line;
     rows with the same doc_id and text are one document and give one row; a NULL doc_id is a document id of its own
-    that sorts first; other columns are ignored, whatever their names; no rows give no rows.
+    that sorts first; very long texts and lines count whole; other columns are ignored, whatever their names; no rows give no rows.
     """
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col, carry)
@@ -108,7 +108,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def apply_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the kept lines as text; rows without any line that is not blank go, and of repeated rows all but one.
 
-    Where rows with one id and text differ in other columns, any one of them stays.
+    Where rows with one id and text differ in other columns, any one of them stays. Defined cases: NULL texts, empty ones and those of blank
+    lines go; a NULL id is an id of its own; columns of any name are carried; very long texts are handled whole; no rows give no rows.
     """
     spark = docs.sparkSession
     rest = [c for c in docs.columns if c not in (id_col, text_col)]

@@ -100,7 +100,7 @@ def quality_rules(
     labels (doc_id, quality): a document is good if all its labels are 1 or more. Defined cases: a NULL stratum is a stratum of its
     own; a stratum without enough good labels has no cutoffs and keeps everything; NULL and empty texts have rates
     of 0 and are kept; NULL ids are carried and never match a label; repeated rows are judged alike and count once in the
-    holdout; a rate equal to the cutoff passes; other columns are ignored; no rows give no rows.
+    holdout; a rate equal to the cutoff passes; very long texts are measured whole; other columns are ignored, whatever their names; no rows give no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(stratum_col).cast("string").alias("lang"), stratum_key(stratum_col).alias("stratum"), text.alias("text"), words_of(text).alias("words"))
