@@ -81,7 +81,13 @@ def calibrate(z: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> tuple[float, fl
 
 
 def fit_rows(texts: list[str], toxic: np.ndarray, orders: tuple[int, ...] = ORDERS, bits: int = BITS, smooth: float = 1.0, l2: float = 1e-2) -> ToxicityModel:
-    """The model of these texts; with one class only, a constant.
+    """fit_features of texts."""
+    distinct = Distinct(bits)
+    return fit_features([features(t, distinct, orders, bits) for t in texts], toxic, orders, bits, smooth, l2)
+
+
+def fit_features(found: list[np.ndarray], toxic: np.ndarray, orders: tuple[int, ...] = ORDERS, bits: int = BITS, smooth: float = 1.0, l2: float = 1e-2) -> ToxicityModel:
+    """The model of texts with these features; with one class only, a constant.
 
     Three quarters of the texts give the weights. On the other quarter, which the weights have not seen, the score is made a
     probability: a threshold set on the texts that were fitted would miss toxic texts of other words.
@@ -92,11 +98,10 @@ def fit_rows(texts: list[str], toxic: np.ndarray, orders: tuple[int, ...] = ORDE
     held = np.arange(len(y)) % 4 == 3
     if not (y[held].any() and not y[held].all() and y[~held].any() and not y[~held].all()):
         held[:] = False
-    distinct = Distinct(bits)
-    rows = Rows([features(texts[i], distinct, orders, bits) for i in np.flatnonzero(~held)], 1 << bits)
+    rows = Rows([found[i] for i in np.flatnonzero(~held)], 1 << bits)
     weights, bias = _linear(rows, y[~held], smooth, l2)
     if held.any():
-        z = np.array([weights[features(texts[i], distinct, orders, bits)].sum() for i in np.flatnonzero(held)])
+        z = np.array([weights[found[i]].sum() for i in np.flatnonzero(held)])
         a, bias = calibrate(z, y[held])
         weights = a * weights
     return ToxicityModel(weights.astype(np.float32), bias, orders, bits)
@@ -109,7 +114,7 @@ def score_text(model: ToxicityModel, text: str, distinct: Distinct) -> float:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """text and y of at most limit labelled documents, drawn by a seeded hash of the id; ordered in one partition.
+    """_id, y and text of at most limit labelled documents, drawn by a seeded hash of the id.
 
     A document with several labels takes the highest; one id with several texts takes the smallest text. NULL ids, labels and texts are left out.
     """
@@ -117,20 +122,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, se
     drawn = marks.groupBy("_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(limit)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).dropna()
     # At most `limit` ids and marks are broadcast, whatever the size of the corpus.
-    found = texts.join(F.broadcast(drawn), "_id").groupBy("_id", "y").agg(F.min("text").alias("text"))
-    return found.repartition(1).sortWithinPartitions("_id")
+    return texts.join(F.broadcast(drawn), "_id").groupBy("_id", "y").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = MAX_TRAIN, seed: int = 5, orders: tuple[int, ...] = ORDERS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """A model of the labelled documents, fitted in one executor task; only its weights come to the driver."""
+    """A model of the labelled documents, fitted in one executor task; only its weights come to the driver.
+
+    Texts become features as they arrive at that task, so it holds their features (2 ** bits a text at most) and one batch of texts.
+    """
     rows = training_rows(docs, labels, label, max_train, seed, id_col, text_col)
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = pd.concat([pd.DataFrame({"text": [], "y": []}), *batches])
-        model = fit_rows(seen["text"].tolist(), seen["y"].to_numpy() > 0, orders, bits)
+        distinct = Distinct(bits)
+        found, y = [], []
+        for batch in batches:
+            found += [features(t, distinct, orders, bits) for t in batch["text"]]
+            y += (batch["y"] > 0).tolist()
+        model = fit_features(found, np.array(y, dtype=bool), orders, bits)
         yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
 
-    got = rows.select("text", "y").mapInPandas(train, "weights binary, bias double").collect()
+    sent = rows.repartition(1).sortWithinPartitions("_id").select("text", "y")
+    got = sent.mapInPandas(train, "weights binary, bias double").collect()
     if not got:
         return fit_rows([], np.zeros(0), orders, bits)
     return ToxicityModel(np.frombuffer(got[0]["weights"], dtype=np.float32), got[0]["bias"], orders, bits)
@@ -140,7 +152,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, i
     """doc_id, p_toxic and toxic (p_toxic >= threshold) of every row.
 
     Defined cases: a NULL, empty or blank text scores what the bias alone gives, but is never called toxic; NULL ids
-    are carried; repeated rows are scored alike; other columns are ignored; no rows give no rows. With labels of one class only,
+    are carried; repeated rows are scored alike; very long texts are scored whole; other columns are ignored, whatever their names; no rows give no rows. With labels of one class only,
     or none, every text gets that class (none: not toxic).
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
