@@ -6,7 +6,7 @@ import cases
 import pytest
 
 import corpus_pipeline as C
-from quillpack.llm import jaccard_join, mixing, packing, quality
+from quillpack.llm import common, jaccard_join, mixing, packing, quality
 from test_jaccard_join import brute as brute_pairs
 from test_jaccard_join import groups
 from test_line_dedup import brute as brute_lines
@@ -77,11 +77,13 @@ def test_packing_stage(stages):
 
 
 def test_run_goes_through_all_stages(spark):
+    shared = common.ensure_checkpoint_dir(spark).removeprefix("file:").replace("//", "/")
+    before = set(os.listdir(shared))
     rows = C.run(spark, "/root/testdata/sf0.001")
     assert rows.count() > 0 and C.ORACLE_SQL is None and jaccard_join.N == 2
     # Only the last stage's rows are left of the run.
-    folder = os.path.dirname(rows.inputFiles()[0].removeprefix("file:").replace("file://", ""))
-    assert os.listdir(os.path.dirname(folder)) == ["4"] and not [x for x in os.listdir(os.path.dirname(os.path.dirname(folder))) if x.startswith("stored-")]
+    (left,) = (x for x in set(os.listdir(shared)) - before if x.startswith(("pipeline-", "stored-")))
+    assert os.listdir(os.path.join(shared, left)) == ["4"]
 
 
 def test_every_stage_takes_an_empty_table(spark):
