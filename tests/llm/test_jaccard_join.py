@@ -2,6 +2,7 @@ import random
 
 import cases
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillpack.llm import jaccard_join as J
@@ -107,6 +108,40 @@ def test_large_nodes_are_split_by_blocks_and_tiles(spark, monkeypatch, broadcast
     assert classes(J.near_classes(docs)) == brute_classes(rows)
 
 
+def test_a_tight_node_passes_its_pairs_on(monkeypatch):
+    """A node of many near sets never has all its pairs in memory: a task that splits it hands them on in batches."""
+    monkeypatch.setattr(J, "FLUSH", 5000)
+    texts = variants(5, 1500, 0.02)
+    sig = np.array([J.signature(J.shingles(t)) for t in texts])
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(np.zeros(1500, np.int32)), pa.array(np.full(1500, 7)), pa.array(np.ones(1500, np.int32)), pa.array(np.arange(1500)), pa.array([x.tobytes() for x in sig]), pa.array(np.zeros(1500, np.int64))],
+        names=["run", "path", "level", "sid", "sig", "hub"],
+    )
+    sizes, found = [], set()
+    for batch in J._split(J.THRESHOLD, J.T)(iter([rows])):
+        sizes.append(batch.num_rows)
+        found |= set(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+    assert max(sizes) <= 5000 + (1 << 22) // J.T and len(sizes) > 20
+    assert len(found) > 1_000_000
+
+
+def test_hubs_are_counted_and_not_spread_as_pairs(spark, monkeypatch):
+    """Clusters above HOT, whether their nodes are above LOCAL or not, give few candidate pairs, but every link, class and pair, also across the blocks of a hub and to sets outside of it."""
+    monkeypatch.setattr(J, "LOCAL", 300)
+    monkeypatch.setattr(J, "HUB_SETS", 120)
+    rows = list(enumerate([*variants(1, 400, 0.02), *variants(2, 280, 0.02), *(t for k in range(20) for t in variants(100 + k, 3, 0.02))]))
+    rows += [(1000 + i, rows[3][1]) for i in range(20)]
+    docs, want, spread, candidates = cases.documents(spark, rows), brute(rows), [], J._candidates
+    monkeypatch.setattr(J, "_candidates", lambda *a: spread.append(J.durable(candidates(*a))) or spread[-1])
+    joined = J._join(docs, J.N, J.THRESHOLD, J.RECALL, J.T, "doc_id", "text")
+    monkeypatch.setattr(J, "_join", lambda *_: joined)
+    assert joined[2].select("hub").distinct().count() == 2 and sum(df.count() for df in spread) < 0.1 * len(want)
+    assert classes(J.near_classes(docs)) == brute_classes(rows)
+    assert pairs(J.near_pairs(docs)) == want
+    label = groups(want)
+    assert {r.doc_id for r in J.keep_one(docs).collect()} == {k for k, _ in rows if label.get(k, k) == k}
+
+
 def test_every_root_has_coordinates():
     assert all(len(J.chosen(run + 1, 0, run + 1, J.T, J.THRESHOLD)) for run in range(200))
 
