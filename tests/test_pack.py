@@ -186,3 +186,32 @@ def test_sinks(spark, tmp_path):
     assert [r.display for r in sinks.dry_run(result.rows).collect()] == ["a.cs", "b.cs"] and sinks.count_tokens(result.rows).first().tokens == 2
     with pytest.raises(PySparkException, match="clipboard"):
         sinks.check_clipboard_size(result.document, 3).collect()
+
+
+def test_documents_in_parts_are_the_same_documents(spark):
+    """A module's sections don't meet in one task when it is large: parts, in order, are what one value was."""
+    from quillpack.functions.text import module_key
+    from quillpack.operators import transforms
+
+    rng = random.Random(5)
+    contents = {f"{'aB'[k % 2]}/f{rng.randrange(10**6)}.{'cs md json'.split()[k % 3]}": "x" * rng.randrange(300) + "!!" * (k % 7 == 0) for k in range(60)}
+    contents |= {"c/one.py": "y" * 5000, "d/bad.py": "!!", "e/e.py": "".join(f"x = ConfigurationValidatorServiceInstance({k * k});\n" for k in range(30))}
+    rows = rows_of(spark, contents)
+    rows = rows.union(rows.where("relative LIKE '%7%'")).union(rows.where("relative LIKE 'a%1%'").withColumn("relative", F.lit(None).cast("string")))
+    rows = render.with_section(render.with_body(content.with_status(rows, 1 << 20, exclude=["!!"]))).withColumn("module", module_key(F.col("relative")))
+    whole = render.document(rows, by=["module"])
+    want = {r.module: r.document for r in whole.collect()}
+    for most in (900, 1 << 20):
+        got = render.document_parts(rows, "module", most=most)
+        found = {}
+        for r in sorted(got.collect(), key=lambda r: r.part):
+            found.setdefault(r.module, []).append(r)
+        assert {m: "".join(r.document for r in p) for m, p in found.items()} == want
+        assert all([r.part for r in p] == list(range(1, len(p) + 1)) and {r.parts for r in p} == {len(p)} for p in found.values())
+        assert (len(found["a"]) > 3) == (most == 900) and max(len(r.document) for r in found["a"]) < (3500 if most == 900 else 1 << 20)
+        packed = sorted(transforms.compress_parts(got).collect(), key=lambda r: r.part)
+        compressed = {r.module: (r.document, r.tokens_saved) for r in transforms.apply_transforms(whole, [transforms.compress_phrases()]).collect()}
+        if most == 900:
+            assert "".join(r.document for r in packed if r.module == "a") == transforms.CONTEXT_HEADER + want["a"]
+        else:
+            assert {r.module: (r.document, r.tokens_saved) for r in packed} == compressed and compressed["e"][1] > 0
