@@ -101,3 +101,39 @@ def test_lines(spark):
     assert one.select(lines.drop_lines(F.col("t"), ["//"])).first()[0] == "a\n\nc\n\n  \nd"
     assert one.select(lines.drop_lines(F.col("t"), ["\\n", "//"])).first()[0] == "a\nc\nd"
     assert one.select(lines.drop_lines(F.col("t"), [""])).first()[0] == "a\r\n  // b\n\x85c \n  \nd"
+
+
+def peak_mb(f):
+    """MB that Python and numpy hold at most while f runs."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def as_bytes(texts):
+    import numpy as np
+
+    data = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(data), dtype=np.uint8), np.cumsum([0, *map(len, data)]).astype(np.int32)
+
+
+def test_tokens_are_counted_in_pieces(monkeypatch):
+    """A batch's count takes no more memory than that of a piece, and cuts in long texts change nothing."""
+    from quillpack.functions import tokens as N
+
+    rng = random.Random(7)
+    for piece in (1, 3, 20):
+        monkeypatch.setattr(N, "PIECE", piece)
+        for _ in range(60):
+            texts = ["".join(rng.choice("aZ9_ .-\n(é日😀") for _ in range(rng.randrange(60))) for _ in range(rng.randrange(1, 8))]
+            assert N.count_batch(*as_bytes(texts)).tolist() == [P.count_tokens(t) for t in texts]
+    monkeypatch.undo()
+    for texts in (["some words of a text; " * 50] * 8000, ["some words of a text; " * 400_000]):
+        batch = as_bytes(texts)
+        assert peak_mb(lambda: N.count_batch(*batch)) < 60  # noqa: B023
+        assert N.count_batch(*batch).sum() == 6 * 400_000
