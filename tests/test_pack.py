@@ -215,3 +215,12 @@ def test_documents_in_parts_are_the_same_documents(spark):
             assert "".join(r.document for r in packed if r.module == "a") == transforms.CONTEXT_HEADER + want["a"]
         else:
             assert {r.module: (r.document, r.tokens_saved) for r in packed} == compressed and compressed["e"][1] > 0
+
+
+def test_no_limit_brings_nothing_to_one_task(spark, sf_dir):
+    from quillpack.plans.queries import QUERIES
+
+    plan = QUERIES["brain_pack"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "TakeOrderedAndProject" not in plan and "GlobalLimit" not in plan
+    rows = rows_of(spark, {f"{k}.cs": "x" for k in range(9)})
+    assert filters.first_files(rows, filters.NO_LIMIT).count() == 9 and filters.first_files(rows, 4).count() == 4
