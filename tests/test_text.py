@@ -137,3 +137,15 @@ def test_tokens_are_counted_in_pieces(monkeypatch):
         batch = as_bytes(texts)
         assert peak_mb(lambda: N.count_batch(*batch)) < 60  # noqa: B023
         assert N.count_batch(*batch).sum() == 6 * 400_000
+
+
+def test_minified_texts_leave_memory_in_pieces():
+    import pyarrow as pa
+
+    from quillpack.functions.minify import minify_batch
+
+    for texts in (["some words of a  text\n" * 400] * 1200, ["some words of a  text\n" * 100_000] * 2):
+        code, language, out = pa.array(texts), pa.array(["html"] * len(texts)), []
+        assert peak_mb(lambda: out.append(minify_batch(code, language))) < 20  # noqa: B023
+        assert out[0].to_pylist() == [t.replace("  ", " ") for t in texts]
+    assert minify_batch(pa.array([None, "", "a  b"]), pa.array(["cs", None, None])).to_pylist() == [None, "", "a b"]
