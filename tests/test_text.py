@@ -149,3 +149,40 @@ def test_minified_texts_leave_memory_in_pieces():
         assert peak_mb(lambda: out.append(minify_batch(code, language))) < 20  # noqa: B023
         assert out[0].to_pylist() == [t.replace("  ", " ") for t in texts]
     assert minify_batch(pa.array([None, "", "a  b"]), pa.array(["cs", None, None])).to_pylist() == [None, "", "a b"]
+
+
+def test_phrases_of_many_texts_leave_in_pieces(spark):
+    """Rows of phrases are sent on as they are found, not held for a whole batch of texts."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["quick brown fox", "lazy dog jumps", "over the fence", "red\n"]) for _ in range(k)) for k in range(0, 300, 10)]
+    docs = spark.createDataFrame([*((k % 28, t) for k, t in enumerate(texts)), (None, texts[-1])], "doc_id int, text string").coalesce(1)
+    found = transforms.phrase_candidates(docs, "doc_id", "text")
+    want = [(k, *row) for k, t in [*((k % 28, t) for k, t in enumerate(texts)), (None, texts[-1])] for row in P.frequent_phrases(t)]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want)) and want
+    assert found.dtypes == [("doc_id", "int"), ("phrase", "string"), ("frequency", "int"), ("savings", "int")] and "MapInArrow" in found._jdf.queryExecution().toString()
+    held = []
+
+    def many():
+        for k in range(95):
+            held.append(k)
+            yield k, 1
+
+    assert [(len(x), len(held)) for x in transforms._gathered(many(), 10)][:3] == [(10, 10), (10, 20), (10, 30)]
+
+
+def test_compressed_texts_leave_in_pieces(spark):
+    text = "\n".join(f"var x{k} = ConfigurationValidatorServiceInstance({k * k});" for k in range(30))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([text, None, "", "short"] * 3)], "k int, document string").coalesce(1)
+    got = sorted(transforms.compress_phrases()(docs).collect())
+    assert [(r.document, r.legend, r.tokens_saved) for r in got] == [(d.output, d.legend, d.tokens_saved) for d in map(P.compress, [text, None, "", "short"] * 3)]
+    assert got[0].tokens_saved > 0
+
+
+def test_repeated_words_are_not_all_counted(monkeypatch):
+    """A run of n characters has n nested ranges; those whose places are too close together are never walked."""
+    counted, real = [], P._apart
+    monkeypatch.setattr(P, "_apart", lambda places, length: counted.append(len(places)) or real(places, length))
+    text = "Theo " * 800
+    found = P.frequent_phrases(text)
+    assert len(counted) < len(text) / 2 and len(found) > 50
+    assert all(text.count(p) == k for p, k, _ in found)
